@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenlog.operators import hierarchy, nested, times
+from lumenlog.operators import hierarchy, loglines, nested, times
 from lumenlog.session import table
 
 
@@ -43,5 +43,9 @@ def p6_found(spark, d):
     return hierarchy.hierarchies(spans).select("trace_id", "span_id", "root_span_id", "depth")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+def p7_found(spark, d):
+    return loglines.parse_entries(table(spark, d, "raw_lines")).select("artifact_id", "first_line", "last_line", "level", "component")
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
 ORACLES: dict[str, str] = {}
