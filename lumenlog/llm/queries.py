@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lumenlog.session import table
-from lumenlog.llm import components, survivors
+from lumenlog.llm import components, leaks, packing, survivors
 
 
 def p1_found(spark, d):
     return survivors.duplicate_representatives(table(spark, d, "evidence"))
 
 
+def p1_survivors(spark, d):
+    return survivors.evidence_survivors(table(spark, d, "evidence"))
+
+
 def p4_found(spark, d):
     return components.evidence_groups(table(spark, d, "correlation_edges"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
+def p8_windows(spark, d):
+    return packing.pack(packing.document_sizes(table(spark, d, "documents")), table(spark, d, "context_windows"))
+
+
+def p9_found(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p8_windows": p8_windows, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
