@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenlog.session import table
-from lumenlog.llm import components, leaks, packing, survivors
+from lumenlog.llm import abuse, components, leaks, packing, survivors
 
 
 def p1_found(spark, d):
@@ -28,5 +28,22 @@ def p9_found(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p8_windows": p8_windows, "p9_found": p9_found}
+def _scored(spark, d):
+    documents = table(spark, d, "documents").select("doc_id", "text", "source")
+    return abuse.score_documents(documents, abuse.train(documents, table(spark, d, "doc_labels")))
+
+
+def p10_found(spark, d):
+    return _scored(spark, d).filter(F.col("abuse_score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark, d):
+    return _scored(spark, d).select("doc_id", "source", "abuse_score")
+
+
+def p10_rates(spark, d):
+    return abuse.rates(_scored(spark, d))
+
+
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p8_windows": p8_windows, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 ORACLES: dict[str, str] = {}
