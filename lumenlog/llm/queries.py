@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenlog.session import table
-from lumenlog.llm import abuse, components, leaks, packing, survivors
+from lumenlog.llm import abuse, components, leaks, packing, scans, survivors
 
 
 def p1_found(spark, d):
@@ -16,6 +16,14 @@ def p1_survivors(spark, d):
     return survivors.evidence_survivors(table(spark, d, "evidence"))
 
 
+def p2_found(spark, d):
+    return scans.Scans(table(spark, d, "scanned_pages")).defects()
+
+
+def p2_paragraphs(spark, d):
+    return scans.Scans(table(spark, d, "scanned_pages")).paragraphs()
+
+
 def p4_found(spark, d):
     return components.evidence_groups(table(spark, d, "correlation_edges"))
 
@@ -45,5 +53,5 @@ def p10_rates(spark, d):
     return abuse.rates(_scored(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p4_found": p4_found, "p8_windows": p8_windows, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p4_found": p4_found, "p8_windows": p8_windows, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 ORACLES: dict[str, str] = {}
