@@ -20,6 +20,8 @@ from lumenlog.functions.text import blank_to_null
 from lumenlog.session import cut
 
 BLOCK = 4096
+#: Blocks that an entry may go on for.
+OPEN_BLOCKS = 16
 HEAD_TOKENS = 9
 #: A slot with fewer different words than this is constant once it was seen often enough.
 FEW, OFTEN = 5, 50
@@ -63,7 +65,9 @@ def entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """(artifact_id, first_line, last_line, head, text): physical lines put together.
 
     A partial container line goes on with the next line of its stream. Lines
-    before the first head of a file form entries of their own, one per block.
+    before the first head of a file form entries of their own, one per block,
+    and so do lines more than OPEN_BLOCKS blocks behind the last head, which
+    bounds what one entry can hold.
     """
     rows = clean_lines(lines, block)
     rows = rows.withColumns({"_head": F.col("text").rlike(HEAD), "_open": F.regexp_extract("text", CRI, 3) == "P"})
@@ -76,6 +80,7 @@ def entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     last = rows.groupBy("artifact_id", "block").agg(F.max(F.when(F.col("_head"), F.col("line_number"))).alias("_l"), F.min("line_number").alias("_f"))
     carried = last.select("artifact_id", "block", "_f", F.max("_l").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
+    carried = carried.withColumn("_c", F.when(F.col("block") - F.floor(F.col("_c") / block) <= OPEN_BLOCKS, F.col("_c")))
     start = F.max(F.when(F.col("_head"), F.col("line_number"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("_s", start).join(carried, ["artifact_id", "block"]).withColumn("_s", F.coalesce("_s", "_c", "_f"))
     grouped = rows.groupBy("artifact_id", "_s").agg(F.array_sort(F.collect_list(F.struct("line_number", "text"))).alias("l"))

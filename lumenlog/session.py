@@ -32,3 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise a DataFrame in reliable shared storage and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def free(df: DataFrame, *names: str) -> DataFrame:
+    """Make room for result columns: input columns of these names get a trailing underscore."""
+    have = {c.lower() for c in df.columns}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = c
+            while new.lower() in have:
+                new += "_"
+            have.add(new.lower())
+            df = df.withColumnRenamed(c, new)
+    return df
