@@ -22,10 +22,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lumenlog.session import free
+
 #: Bound of the sample of rated documents that the classifier is fitted on.
 MAX_RATED = 20_000
 #: Score from which a document counts as flagged.
 THRESHOLD = 0.5
+#: Score before the logistic of a sentence of unknown words, kept fixed: what nobody rated is not flagged.
+UNKNOWN = -2.0
 #: Longest sentence in words that is scored as one; longer ones are scored in windows of this many words, half overlapping.
 WINDOW = 60
 
@@ -248,7 +252,7 @@ def fit(rated: list[tuple[str, float]], *, rounds: int = 8, epochs: int = 60, ra
         pflat = np.concatenate([c for _, c in pairs])
         pstart = np.concatenate([[0], np.cumsum([len(c) for _, c in pairs])[:-1]])
         prow = np.repeat(np.arange(len(pairs)), [len(c) for _, c in pairs])
-    w, bias = np.zeros(size), -2.0
+    w, bias = np.zeros(size), UNKNOWN
     positive = np.zeros(len(texts))
     positive[len(unique) :] = seed_weight
     for r in range(rounds):
@@ -263,7 +267,7 @@ def fit(rated: list[tuple[str, float]], *, rounds: int = 8, epochs: int = 60, ra
         weight = positive + np.minimum(negative, 50.0) + 1e-12
         target = positive / weight
         total = weight.sum()
-        g2, gb2 = np.full(size, 1e-8), 1e-8
+        g2 = np.full(size, 1e-8)
         for _ in range(epochs):
             p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[flat], starts) + bias, -30, 30)))
             d = weight * (p - target) / total * 100
@@ -277,9 +281,6 @@ def fit(rated: list[tuple[str, float]], *, rounds: int = 8, epochs: int = 60, ra
                 g += np.bincount(flat, side[row], size) - np.bincount(pflat, gap[prow], size)
             g2 += g * g
             w -= rate * g / np.sqrt(g2)
-            gb = d.sum()
-            gb2 += gb * gb
-            bias -= rate * gb / math.sqrt(gb2)
     names = list(index)
     return Classifier({names[k]: float(w[k]) for k in np.flatnonzero(np.abs(w) > 1e-4)}, float(bias), reader)
 
@@ -296,8 +297,10 @@ def score_documents(documents: DataFrame, model: Classifier, *, text: str = "tex
     """Add abuse_score and abuse_passage (the worst sentence as read) to every document.
 
     NULL, empty and blank texts score 0 with an empty passage. Whole texts are
-    scored; one bad sentence is enough whatever the length of the rest.
+    scored; one bad sentence is enough whatever the length of the rest. Input
+    columns named like results get a trailing underscore.
     """
+    documents = free(documents, "abuse_score", "abuse_passage", "_s")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, passage string")

@@ -3,15 +3,16 @@
 Bounded-space online packing: every partition keeps a fixed number of open
 windows; an item goes to the window it fills best, and when it fits none the
 fullest window is closed and a fresh one opened. What is still open at the end
-of the partitions is merged, windows then being the items, level by level with
-32 partitions to one, until one partition is left. Only items larger than the
-capacity are split.
+of the partitions is merged: its items are packed again, level by level with 32
+partitions to one, until one partition is left, whose last open items are
+packed by falling size. Only items larger than the capacity are split.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,6 +23,8 @@ from lumenlog.session import cut
 GPT2_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OPEN_WINDOWS = 64
 FAN_IN = 32
+#: Open windows of the last pass, over the items of OPEN_WINDOWS windows.
+FINAL_WINDOWS = 1_000_000
 
 
 def token_count(text: Column) -> Column:
@@ -65,7 +68,7 @@ class Packer:
         return [self._close(0) for _ in range(len(self.room))]
 
 
-def _pack(df: DataFrame, level: int, parts: int, open_windows: int) -> DataFrame:
+def _pack(df: DataFrame, level: int, parts: int, open_windows: int, decreasing: bool = False) -> DataFrame:
     """Rows (window_name, capacity, item, size) to rows with window, window_tokens, closed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +94,7 @@ def _pack(df: DataFrame, level: int, parts: int, open_windows: int) -> DataFrame
         yield pd.DataFrame(out, columns=columns)
 
     spread = df.withColumn("part", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(parts)).cast("int"))
-    spread = spread.repartition(parts, "part").sortWithinPartitions("part", F.xxhash64("item"), "item", "window_name")
+    spread = spread.repartition(parts, "part").sortWithinPartitions("part", *([F.col("size").desc()] if decreasing else []), F.xxhash64("item"), "item", "window_name")
     return spread.mapInPandas(run, "window_name string, capacity int, item string, size int, window string, window_tokens int, closed boolean")
 
 
@@ -107,7 +110,7 @@ def pack(items: DataFrame, windows: DataFrame, *, per_part: int = 50_000, open_w
     ``per_part``.
     """
     ws = windows.select("window_name", F.col("capacity_tokens").cast("int").alias("capacity")).filter("capacity > 0").distinct()
-    rows = items.filter(F.col("size") > 0)
+    rows = items.select("id", "size").filter(F.col("size") > 0)
     # the few named windows are the stated set; every item is packed once for each
     every = rows.join(F.broadcast(ws), F.lit(True))
     pieces = every.select(
@@ -115,29 +118,18 @@ def pack(items: DataFrame, windows: DataFrame, *, per_part: int = 50_000, open_w
     )
     keyed = pieces.withColumn("item", F.concat_ws(":", F.col("id").cast("string"), F.col("piece").cast("string")))
     parts = max(1, -(-rows.count() // per_part))
-    done = cut(_pack(keyed.select("window_name", "capacity", "item", "size"), 0, parts, open_windows))
-    closed = done.filter("closed")
-    open_ = done.filter("not closed")
-    moved = None
-    level = 0
-    left = open_.groupBy("window_name", "capacity", F.col("window").alias("item")).agg(F.first("window_tokens").alias("size"))
+    left = keyed.select("window_name", "capacity", "item", "size")
+    settled: list[DataFrame] = []
+    level, last = 0, False
     while True:
-        level += 1
-        parts = -(-parts // FAN_IN)
-        last = parts == 1
-        merged = cut(_pack(left, level, parts, open_windows * (FAN_IN if last else 4)))
-        step = merged.select(F.col("item").alias("from"), F.col("window").alias("to"), F.col("window_tokens").alias("t"), "closed")
-        if moved is None:
-            moved = step
-        else:
-            later = step.select(F.col("from").alias("to"), F.col("to").alias("to2"), F.col("t").alias("t2"))
-            moved = moved.join(later, "to", "left").select("from", F.coalesce("to2", "to").alias("to"), F.coalesce("t2", "t").alias("t"))
+        packed = cut(_pack(left, level, parts, FINAL_WINDOWS if last else open_windows, decreasing=last))
+        settled.append(packed if last else packed.filter("closed"))
         if last:
             break
-        left = merged.filter("not closed").groupBy("window_name", "capacity", F.col("window").alias("item")).agg(F.first("window_tokens").alias("size"))
-    names = moved.select(F.col("from").alias("window"), "to", "t")
-    settled = open_.join(names, "window", "left").select("window_name", "capacity", "item", "size", F.coalesce("to", "window").alias("window"), F.coalesce("t", "window_tokens").alias("window_tokens"))
-    whole = closed.select("window_name", "capacity", "item", "size", "window", "window_tokens").unionByName(settled)
+        left = packed.filter("not closed").select("window_name", "capacity", "item", "size")
+        last = parts == 1
+        level, parts = level + 1, -(-parts // FAN_IN)
+    whole = reduce(DataFrame.unionByName, settled)
     return whole.select(
         "window_name", "capacity", F.substring_index("item", ":", 1).cast(items.schema["id"].dataType).alias("id"), F.substring_index("item", ":", -1).cast("int").alias("piece"),
         F.col("size").alias("tokens"), "window", "window_tokens", (F.col("window_tokens") / F.col("capacity")).alias("fill"),

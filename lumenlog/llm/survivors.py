@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenlog.functions.text import same_fingerprint, same_key
+from lumenlog.session import free
 
 
 def filled(df: DataFrame, name: str) -> Column:
@@ -33,7 +34,6 @@ def survivors(
     *,
     row_id: str,
     time: str,
-    first_time: str | None = None,
     priority: Column | None = None,
     count: str | None = None,
     least: Sequence[str] = (),
@@ -49,8 +49,10 @@ def survivors(
     right one. Result columns: the keys, ``best_id`` (id of the most complete
     row; ties: latest time, then smallest id), ``copies`` and every other
     column's surviving value under its own name. Repeated rows count as
-    copies; an empty table gives an empty result.
+    copies; an empty table gives an empty result. Input columns named like
+    results get a trailing underscore.
     """
+    df = free(df, "best_id", "copies", "_best", "_alone", "_filled", "_priority", *keys, *(f"_k_{k}" for k in keys))
     priority = completeness(df, df.columns) if priority is None else priority
     work = df.withColumns({"_filled": completeness(df, df.columns), "_priority": priority.cast("double")})
     work = work.withColumns({f"_k_{k}": e for k, e in keys.items()})
@@ -74,7 +76,7 @@ def survivors(
             rank = F.struct(filled(df, name).alias("f"), F.col("_priority").alias("p"), F.col(f"`{time}`").alias("t"), c.alias("v"))
             aggregates.append(F.max(rank)["v"].alias(name))
     grouped = work.groupBy(*(F.col(f"_k_{k}") for k in keys), "_alone").agg(*aggregates)
-    rest = [c for c in df.columns if c != row_id and c not in keys]
+    rest = [c for c in df.columns if c != row_id]
     return grouped.select(
         *(F.col(f"_k_{k}").alias(k) for k in keys), (-F.col("_best.i")).alias("best_id"), "copies", *(F.col(f"`{c}`") for c in rest)
     )
