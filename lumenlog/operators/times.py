@@ -17,6 +17,8 @@ from zoneinfo import available_timezones
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lumenlog.session import free
+
 # Month names, and zone abbreviations with their offset in minutes.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 ABBREVIATIONS = {
@@ -40,6 +42,8 @@ LAYOUTS: dict[str, tuple[str, tuple[int, ...]]] = {
     "dmy": (rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}})[,t\s]\s*{_CLOCK}{_ZONE}$", (4, 3, 1, 5, 6, 7, 8, 0, 9, 10)),
     "mdy": (rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}})[,t\s]\s*{_CLOCK}{_ZONE}$", (4, 1, 3, 5, 6, 7, 8, 0, 9, 10)),
 }
+#: Values that more than one layout may fit.
+_DOUBTFUL = r"^\W*\d{1,2}([-/.])\d{1,2}\1\d{4}\b"
 #: Years back that a time without year may lie (29 February needs up to eight).
 YEARS_BACK = 8
 
@@ -177,30 +181,37 @@ def normalise_times(
 ) -> DataFrame:
     """Add utc_us, layout, posterior and ambiguous to every row.
 
-    utc_us is NULL where the value denotes no instant. Rows whose value fits
-    one reading are finished within the scan; only values with several
-    readings take part in the mixture join, whose right side has one row per
-    source. ambiguous is true where the best posterior is below
-    min_posterior; the best reading is still given. An unknown arrival time
-    leaves times without year unresolved.
+    utc_us is NULL where the value denotes no instant. Values of layouts that
+    exclude each other are finished within the scan; only values that fit
+    several (day and month in either order) take part in the mixture, which
+    reads the rows of their sources and joins one row per source. ambiguous is
+    true where the best posterior is below min_posterior; the best reading is
+    still given. An unknown arrival time leaves times without year unresolved.
+    Input columns named like results get a trailing underscore.
     """
-    read = df.withColumns({"_source": F.coalesce(source, F.lit("")), "_r": readings(F.col(value), host_zone, F.col(received))})
-    several = F.size(F.array_distinct(F.transform("_r", lambda r: r["utc_us"]))) > 1
-    one = F.try_element_at("_r", F.lit(1))
-    plain = read.filter(~several).withColumns(
+    df = free(df, "utc_us", "layout", "posterior", "ambiguous", "_source", "_one", "_r", "_l", "_g", "_s", "_w", "_m", "_z", "_b")
+    rows = df.withColumn("_source", F.coalesce(source, F.lit("")))
+    doubtful = F.coalesce(F.col(value).rlike(_DOUBTFUL), F.lit(False))
+    read = lambda x: x.withColumn("_r", readings(F.col(value), host_zone, F.col(received)))
+    # a generator keeps later filters on the instant from reading the value a second time
+    first = F.explode_outer(F.slice(readings(F.col(value), host_zone, F.col(received)), 1, 1)).alias("_one")
+    one = F.col("_one")
+    plain = rows.filter(~doubtful).select("*", first).withColumns(
         {"utc_us": one["utc_us"], "layout": one["layout"], "posterior": F.when(one.isNotNull(), 1.0), "ambiguous": F.lit(False)}
     )
     hours = lambda r: F.abs(F.coalesce(micros(F.col(received)) - r["utc_us"], F.lit(0))) / 3.6e9
     lag = lambda r: F.floor(F.log10(hours(r) + 1) * 2) / 2 + F.when(r["utc_us"] > micros(F.col(received)) + 60_000_000, 2.0).otherwise(0.0)
-    hard = read.withColumns({"_l": F.transform("_r", lambda r: r["layout"]), "_g": F.transform("_r", lag)})
+    with_lags = lambda x: read(x).withColumns({"_l": F.transform("_r", lambda r: r["layout"]), "_g": F.transform("_r", lag)})
+    concerned = rows.filter(doubtful).select("_source").distinct()
     counts = (
-        hard.filter(F.size("_r") > 0)
+        with_lags(rows.join(concerned, "_source", "left_semi"))
+        .filter(F.size("_r") > 0)
         .groupBy("_source", "_l", "_g")
-        .agg(F.count(F.lit(1)).alias("n"), F.max(several).alias("several"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("_source")
-        .agg(F.collect_list(F.struct(F.col("_l").alias("layouts"), F.col("_g").alias("lags"), "n")).alias("rows"), F.max("several").alias("several"))
-        .filter("several")
+        .agg(F.collect_list(F.struct(F.col("_l").alias("layouts"), F.col("_g").alias("lags"), "n")).alias("rows"))
     )
+    hard = with_lags(rows.filter(doubtful))
 
     @F.pandas_udf("map<string,double>")
     def fit(rows: pd.Series) -> pd.Series:
@@ -211,7 +222,7 @@ def normalise_times(
         return pd.Series(out)
 
     weights = counts.select(F.col("_source").alias("_s"), fit("rows").alias("_w"))
-    scored = hard.filter(several).join(weights, F.col("_source") == F.col("_s"), "left")
+    scored = hard.join(weights, F.col("_source") == F.col("_s"), "left")
     mass = F.transform("_r", lambda r: F.coalesce(F.element_at("_w", r["layout"]), F.lit(0.0)) * F.pow(F.lit(10.0), -lag(r)))
     scored = scored.withColumn("_m", mass).withColumn("_z", F.aggregate("_m", F.lit(0.0), lambda a, x: a + x))
     best = F.array_max(F.zip_with("_m", "_r", lambda m, r: F.struct(m.alias("m"), (-r["utc_us"]).alias("k"), r["layout"].alias("layout"), r["utc_us"].alias("utc_us"))))
