@@ -192,8 +192,8 @@ def normalise_times(
     df = free(df, "utc_us", "layout", "posterior", "ambiguous", "_source", "_one", "_r", "_l", "_g", "_s", "_w", "_m", "_z", "_b")
     rows = df.withColumn("_source", F.coalesce(source, F.lit("")))
     doubtful = F.coalesce(F.col(value).rlike(_DOUBTFUL), F.lit(False))
-    read = lambda x: x.withColumn("_r", readings(F.col(value), host_zone, F.col(received)))
-    # a generator keeps later filters on the instant from reading the value a second time
+    # generators keep later filters from being moved down and reading the values a second time
+    read = lambda x: x.select("*", F.explode(F.array(readings(F.col(value), host_zone, F.col(received)))).alias("_r"))
     first = F.explode_outer(F.slice(readings(F.col(value), host_zone, F.col(received)), 1, 1)).alias("_one")
     one = F.col("_one")
     plain = rows.filter(~doubtful).select("*", first).withColumns(
