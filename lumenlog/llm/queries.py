@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenlog.plans.relational import message_sql
 from lumenlog.session import table
 from lumenlog.llm import abuse, components, leaks, packing, scans, survivors
 
+#: Columns of ``evidence`` and whether they hold text.
+_COLUMNS = dict.fromkeys("correlation_key fingerprint event_type severity trace_id request_id span_id parent_span_id service module host pod endpoint source_file source_format representative_line resolved_identity identity_match_type diagnostic_attributes".split(), True)
+_COLUMNS |= dict.fromkeys("id analysis_id artifact_id http_status first_seen last_seen occurrence_count first_line_number last_line_number identity_strength ocr_confidence".split(), False)
+
 
 def p1_found(spark, d):
     return survivors.duplicate_representatives(table(spark, d, "evidence"))
@@ -54,4 +59,11 @@ def p10_rates(spark, d):
 
 
 QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p4_found": p4_found, "p8_windows": p8_windows, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
-ORACLES: dict[str, str] = {}
+_GROUPS = f"""WITH k AS (SELECT *, nullif(regexp_replace(regexp_replace({message_sql("fingerprint")}, '\\s+', ' ', 'g'), '^([^:\\s]*)\\s*:\\s*', '\\1:'), '') AS f,
+ coalesce(nullif(regexp_extract(lower(coalesce(correlation_key, '')), '([0-9a-f]{{64}})', 1), ''), sha256(concat_ws('|', {", ".join(f"coalesce(nullif(nullif(lower(trim({c})), ''), '__none__'), '__none__')" for c in ("trace_id", "request_id", "span_id"))}))) AS i FROM evidence),
+ n AS (SELECT k.*, list_sum([{", ".join("CAST(" + (f"{c} IS NOT NULL AND {c} <> ''" if t else f"{c} IS NOT NULL") + " AS INTEGER)" for c, t in _COLUMNS.items())}]) AS filled FROM k WHERE f IS NOT NULL)
+SELECT id AS evidence_id FROM (SELECT id, row_number() OVER (PARTITION BY analysis_id, f, i ORDER BY filled DESC, last_seen DESC NULLS LAST, id) AS place, count(*) OVER (PARTITION BY analysis_id, f, i) AS n FROM n) WHERE place = 1 AND n > 1"""
+_ID = "try_cast(nullif(regexp_extract({c}, '(?i)^\\s*evidence-(\\d+)\\s*$', 1), '') AS BIGINT)"
+_LINKED = f"""WITH RECURSIVE e0 AS (SELECT {_ID.format(c="source_id")} AS a, {_ID.format(c="target_id")} AS b FROM correlation_edges), e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b),
+reach(u, v) AS (SELECT a, a FROM e UNION SELECT reach.u, e.b FROM reach JOIN e ON e.a = reach.v) SELECT min(v) AS group_id, u AS evidence_id FROM reach GROUP BY u"""
+ORACLES: dict[str, str] = {"p1_found": _GROUPS, "p4_found": _LINKED}
