@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenlog.functions.text import EXCEPTION, blank_to_null, first_level, level, level_of_status, normalize_message
 
@@ -29,18 +30,29 @@ IMPORTANT_STATUS = r"(?i)(?:\bstatus(?:[_-]?code)?[\s=:\"']+[45]\d{2}\b|\"\s+[45
 PAGE_LEVELS = ("CRITICAL", "CRITICAL", "CRITICAL", "ERROR", "WARNING", "INFO", "INFO", "DEBUG")
 
 
-def fields(text: Column) -> Column:
-    """map<field, value>: the first value of every known field in key=value or key: value form, then in spaced form."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _pairs(text: Column, pattern: str) -> Column:
+    """array<struct<k, v>>: known fields and their values in the order of the text."""
+    table = F.create_map(*(F.lit(x) for kv in FIELD_ALIASES.items() for x in kv))
+    found = F.zip_with(
+        F.regexp_extract_all(text, F.lit(pattern), 1),
+        F.regexp_extract_all(text, F.lit(pattern), 2),
+        lambda k, v: F.struct(F.element_at(table, F.regexp_replace(F.lower(k), "[_-]", "")).alias("k"), F.regexp_replace(v, r"[.,;)]+$", "").alias("v")),
+    )
+    return F.filter(found, lambda p: p["k"].isNotNull() & (p["v"] != ""))
 
-    def found(pattern: str) -> Column:
-        keys, values = F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2)
-        table = F.create_map(*(F.lit(x) for kv in FIELD_ALIASES.items() for x in kv))
-        pairs = F.zip_with(keys, values, lambda k, v: F.struct(F.element_at(table, F.regexp_replace(F.lower(k), "[_-]", "")).alias("k"), F.regexp_replace(v, r"[.,;)]+$", "").alias("v")))
-        return F.filter(pairs, lambda p: p["k"].isNotNull() & (p["v"] != ""))
 
-    every = F.concat(found(FIELD), found(SPACED))
-    first = F.transform(F.array(*(F.lit(f) for f in FIELDS)), lambda f: F.struct(f.alias("k"), F.try_element_at(F.filter(every, lambda p: p["k"] == f), F.lit(1))["v"].alias("v")))
-    return F.map_from_entries(F.filter(first, lambda p: p["v"].isNotNull()))
+def fields(text: Column) -> Column:
+    """struct of the known fields: the first value in key=value or key: value form, else in spaced form."""
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    plain = F.when(text.rlike("[=:]"), _pairs(text, FIELD)).otherwise(none)
+    spaced = F.when(text.rlike(SPACED), _pairs(text, SPACED)).otherwise(none)
+    first = lambda every, f: F.try_element_at(F.filter(every, lambda p: p["k"] == f), F.lit(1))["v"]
+    return let(F.concat(plain, spaced), lambda every: F.struct(*(first(every, f).alias(f) for f in FIELDS)))
 
 
 def exception_type(text: Column, last: Column | None = None) -> Column:
@@ -60,17 +72,25 @@ def endpoint(text: Column) -> Column:
 
 
 def stack_frames(text: Column) -> Column:
-    """array<struct<file, line, function>> of Python, Node and Java frames, else of file:line places."""
+    """array<struct<file, line, function>> of Python, Node and Java frames, else of file:line places.
+
+    Each pattern is only tried where a cheap mark of it is found.
+    """
+    kind = "array<struct<file:string,line:int,function:string>>"
+    none = F.array().cast(kind)
 
     def frames(pattern: str, file: int, line: int, function: int) -> Column:
         g = lambda n: F.regexp_extract_all(text, F.lit(pattern), n)
-        name = (lambda n: F.transform(g(n), blank_to_null)) if function else (lambda n: F.transform(g(line), lambda _: F.lit(None).cast("string")))
-        z = F.zip_with(F.zip_with(g(file), g(line), lambda a, b: F.struct(a.alias("f"), b.alias("l"))), name(function), lambda x, n: F.struct(x["f"].alias("file"), x["l"].try_cast("int").alias("line"), n.alias("function")))
-        return z
+        place = F.zip_with(g(file), g(line), lambda a, b: F.struct(a.alias("f"), b.alias("l")))
+        names = g(function) if function else g(line)
+        name = (lambda n: blank_to_null(n)) if function else (lambda n: F.lit(None).cast("string"))
+        return F.zip_with(place, names, lambda x, n: F.struct(x["f"].alias("file"), x["l"].try_cast("int").alias("line"), name(n).alias("function"))).cast(kind)
 
-    python, node, java, place = frames(PYTHON_FRAME, 1, 2, 3), frames(NODE_FRAME, 2, 3, 1), frames(JAVA_FRAME, 2, 3, 1), frames(PLACE, 1, 2, 0)
-    named = F.concat(python, node, java)
-    return F.when(F.size(named) > 0, named).otherwise(place)
+    python = F.when(text.contains('File "'), frames(PYTHON_FRAME, 1, 2, 3)).otherwise(none)
+    called = text.rlike(r"(?md)^\s*at\s")
+    calls = F.when(called, F.concat(frames(NODE_FRAME, 2, 3, 1), frames(JAVA_FRAME, 2, 3, 1))).otherwise(none)
+    places = F.when(text.rlike(r"\.[A-Za-z]\w{0,9}:(?:line\s+)?\d"), frames(PLACE, 1, 2, 0)).otherwise(none)
+    return let(F.concat(python, calls), lambda named: F.when(F.size(named) > 0, named).otherwise(places))
 
 
 def may_be_important(text: Column) -> Column:
@@ -80,21 +100,25 @@ def may_be_important(text: Column) -> Column:
     return words | text.rlike(IMPORTANT_STATUS) | text.rlike(PYTHON_FRAME) | text.rlike(JAVA_FRAME)
 
 
-def text_event(text: Column, default_level: Column | None = None) -> dict[str, Column]:
-    """Canonical fields of a text record.
+def text_event(df: DataFrame, column: str, default_level: Column | None = None, prefix: str = "") -> DataFrame:
+    """Add the canonical fields of a text record under ``prefix``.
 
     The level is the first level word, else ERROR if an exception is named,
     WARNING for slow queries, else by the status. Of a record with several
-    lines the last exception counts.
+    lines the last exception counts. The parts are read once per record.
     """
+    text = F.coalesce(F.col(column), F.lit(""))
     many = text.contains("\n")
-    f = fields(text)
-    status = F.element_at(f, F.lit("http_status")).try_cast("int")
-    kind = exception_type(text, many)
+    parts = F.struct(fields(text).alias("f"), exception_type(text, many).alias("kind"), exception_message(text, many).alias("message"), endpoint(text).alias("endpoint"), stack_frames(text).alias("frames"))
+    read = df.select("*", F.explode(F.array(parts)).alias("_parts"))
+    f = lambda c: F.col(f"_parts.f.{c}")
     low = F.lower(text)
+    status = f("http_status").try_cast("int")
+    kind = F.col("_parts.kind")
     found = F.coalesce(default_level if default_level is not None else F.lit(None).cast("string"), first_level(text), F.when(kind.isNotNull() | low.contains("panic:") | low.contains("segmentation fault"), "ERROR"), F.when(low.contains("slow query"), "WARNING"), level_of_status(status))
-    out = {c: F.element_at(f, F.lit(c)) for c in FIELDS if c not in ("http_status", "endpoint")}
-    return out | {"level": found, "exception_type": kind, "exception_message": exception_message(text, many), "http_status": status, "endpoint": F.coalesce(F.element_at(f, F.lit("endpoint")), endpoint(text)), "stack_frames": stack_frames(text)}
+    out = {c: f(c) for c in FIELDS if c not in ("http_status", "endpoint")}
+    out |= {"level": found, "exception_type": kind, "exception_message": F.col("_parts.message"), "http_status": status, "endpoint": F.coalesce(f("endpoint"), F.col("_parts.endpoint")), "stack_frames": F.col("_parts.frames")}
+    return read.withColumns({f"{prefix}{k}": v for k, v in out.items()}).drop("_parts")
 
 
 def syslog_level(priority: Column) -> Column:

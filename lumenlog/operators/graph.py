@@ -19,16 +19,18 @@ def connected_components(edges: DataFrame, left: str, right: str, *, max_rounds:
     """
     a, b = F.col(left), F.col(right)
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(a.isNotNull() & b.isNotNull() & (F.col("u") != F.col("v"))).distinct())
+    mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    before = mark(e)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         new = cut(large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct())
-        changed = not new.exceptAll(e).isEmpty() or not e.exceptAll(new).isEmpty()
-        e = new
-        if not changed:
+        after, e = mark(new), new
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("v").alias("component"), F.col("u").alias("member")).union(e.select(F.col("v"), F.col("v"))).distinct()

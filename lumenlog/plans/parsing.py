@@ -59,17 +59,10 @@ def layout_counts(spark, d):
     return table(spark, d, "raw_lines").groupBy("artifact_id").agg(F.count(F.lit(1)).alias("lines"), n(r"^\d{4}-\d{2}-\d{2}T\S+\s+(stdout|stderr)\s+[FP]\s").alias("cri_lines"), n(r"^<\d{1,3}>").alias("syslog_lines"))
 
 
-_FIELD_SQL = """WITH m AS (SELECT event_id, unnest(regexp_extract_all(raw_line, '\\b([A-Za-z][A-Za-z0-9_-]*)\\b["'']?\\s*(?:=|:)\\s*["'']?([A-Za-z0-9_./:@?&={}-]+)', 1)) AS k, unnest(regexp_extract_all(raw_line, '\\b([A-Za-z][A-Za-z0-9_-]*)\\b["'']?\\s*(?:=|:)\\s*["'']?([A-Za-z0-9_./:@?&={}-]+)', 2)) AS v, generate_subscripts(regexp_extract_all(raw_line, '\\b([A-Za-z][A-Za-z0-9_-]*)\\b["'']?\\s*(?:=|:)\\s*["'']?([A-Za-z0-9_./:@?&={}-]+)', 1), 1) AS n FROM parsed_events),
-f AS (SELECT event_id, n, CASE replace(replace(lower(k), '_', ''), '-', '') WHEN 'traceid' THEN 'trace_id' WHEN 'service' THEN 'service' WHEN 'servicename' THEN 'service' WHEN 'app' THEN 'service' WHEN 'component' THEN 'service' WHEN 'module' THEN 'module' WHEN 'logger' THEN 'module' END AS field, regexp_replace(v, '[.,;)]+$', '') AS v FROM m)
-SELECT e.event_id, t.v AS trace_id, s.v AS service, o.v AS module FROM parsed_events e
- LEFT JOIN (SELECT event_id, arg_min(v, n) AS v FROM f WHERE field = 'trace_id' AND v <> '' GROUP BY 1) t ON t.event_id = e.event_id LEFT JOIN (SELECT event_id, arg_min(v, n) AS v FROM f WHERE field = 'service' AND v <> '' GROUP BY 1) s ON s.event_id = e.event_id
- LEFT JOIN (SELECT event_id, arg_min(v, n) AS v FROM f WHERE field = 'module' AND v <> '' GROUP BY 1) o ON o.event_id = e.event_id"""
-
-
 @query()
 def field_extract(spark, d):
-    f = table(spark, d, "parsed_events").select("event_id", events.fields(F.col("raw_line")).alias("f"))
-    return f.select("event_id", *(F.element_at("f", F.lit(c)).alias(c) for c in ("trace_id", "service", "module", "host", "request_id", "http_status")))
+    f = table(spark, d, "parsed_events").select("event_id", F.explode(F.array(events.fields(F.col("raw_line")))).alias("f"))
+    return f.select("event_id", *(F.col(f"f.{c}").alias(c) for c in ("trace_id", "service", "module", "host", "request_id", "http_status")))
 
 
 _EXC = "\\b([A-Za-z_][A-Za-z0-9_.]*(?:Error|Exception|Failure))\\b"
@@ -131,8 +124,8 @@ def stack_columns(spark, d):
 @query()
 def text_events(spark, d):
     """All canonical fields parsed again from the raw text."""
-    c = events.text_event(F.col("raw_line"))
-    return table(spark, d, "parsed_events").select("event_id", *(v.alias(k) for k, v in c.items() if k != "stack_frames"), F.size(c["stack_frames"]).alias("frames"))
+    e = events.text_event(table(spark, d, "parsed_events").select("event_id", "raw_line"), "raw_line")
+    return e.withColumn("frames", F.size("stack_frames")).drop("raw_line", "stack_frames")
 
 
 @query()

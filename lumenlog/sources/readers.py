@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lumenlog.functions import detect, events
+from lumenlog.functions.text import level, level_of_status
 from lumenlog.operators import loglines, nested
 
 #: Bytes of one record; longer lines are cut into fragments.
@@ -45,8 +46,6 @@ def structured_event(v: Column) -> dict[str, Column]:
     status = _pick(v, "$.status", "$.status_code", "$.statusCode", "$.http_status", "$.response.status").try_cast("int")
     kind = _pick(v, "$.exception.type", "$.error.type", "$.exception_type", "$.exceptionType")
     message = _pick(v, "$.message", "$.msg", "$.log", "$.body", "$.body.stringValue", "$.text")
-    from lumenlog.functions.text import level, level_of_status
-
     stated = level(_pick(v, "$.level", "$.severity", "$.severityText", "$.log_level", "$.lvl"))
     return {
         "time_raw": _pick(v, "$['@timestamp']", "$.timestamp", "$.time", "$.ts", "$.startedDateTime"),
@@ -64,8 +63,8 @@ def json_lines(lines: DataFrame) -> DataFrame:
     v = F.try_parse_json(F.regexp_replace("line", "^﻿", ""))
     rows = lines.withColumn("_v", v)
     good = rows.filter("_v is not null").select("file", "line_number", *(c.alias(k) for k, c in structured_event(F.col("_v")).items()))
-    t = events.text_event(F.col("line"))
-    bad = rows.filter("_v is null").filter(events.may_be_important(F.col("line"))).select("file", "line_number", *(t[k].alias(k) for k in ("level", "trace_id", "request_id", "span_id", "service", "module", "host", "endpoint", "http_status", "exception_type", "exception_message")), F.col("line").alias("message"))
+    t = events.text_event(rows.filter("_v is null").filter(events.may_be_important(F.col("line"))).select("file", "line_number", "line"), "line")
+    bad = t.withColumnRenamed("line", "message").drop("stack_frames", "parent_span_id", "container", "pod")
     return good.unionByName(bad, allowMissingColumns=True)
 
 
