@@ -213,9 +213,9 @@ def ranked_causes(evidence: DataFrame, related: DataFrame | None = None) -> Data
     """
     rows = cut(prepare(evidence))
     related = cut(relationships(evidence) if related is None else related)
-    directed = cut(dag_edges(related.filter("relationship_type is not null")))
-    links = directed.select("source", "target").union(related.filter("relationship_type is null").select("source", "target"))
-    label = connected_components(links, "source", "target")
+    # an edge that closes a loop joins nodes that the rest of the loop joins anyway
+    label = cut(connected_components(related, "source", "target"))
+    directed = cut(dag_edges(related.filter("relationship_type is not null"), label))
     nodes = rows.join(label, rows["id"] == label["member"], "left").drop("member").withColumn("component", F.coalesce("component", "id"))
     out = directed.groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("outgoing"), F.sum("score").alias("out_strength"))
     inc = directed.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("incoming"), F.sum("score").alias("in_strength"))

@@ -60,34 +60,52 @@ def acyclic(rows: list[tuple]) -> set[int]:
     return kept
 
 
-def dag_edges(directed: DataFrame) -> DataFrame:
+def cyclic_core(edges: DataFrame, rounds: int = 30) -> DataFrame:
+    """Edges without those that cannot lie on a loop, as far as ``rounds`` of trimming show.
+
+    An edge whose source nothing leads to, or whose target leads nowhere, is
+    on no loop; taking such edges away lays bare the next ones.
+    """
+    left = edges.count()
+    for _ in range(rounds):
+        into, out = edges.select(F.col("target").alias("source")).distinct(), edges.select(F.col("source").alias("target")).distinct()
+        edges = cut(edges.join(into, "source", "left_semi").join(out, "target", "left_semi"))
+        now = edges.count()
+        if now == left:
+            break
+        left = now
+    return edges
+
+
+def dag_edges(directed: DataFrame, label: DataFrame, *, limit: int = 200_000) -> DataFrame:
     """Directed relationships without loops.
 
-    Only edges that do not go forward in time can close one. Where a component
+    label: (component, member) of any partition that no edge crosses. Only
+    edges that do not go forward in time can close a loop. Where a component
     has such an edge its edges are gathered and tested; all others pass
-    untouched, which is the usual case.
+    untouched, which is the usual case. If more than ``limit`` edges would be
+    gathered they are first trimmed to those that may lie on a loop.
     """
     forward = F.coalesce(F.col("delta_ms") > 0, F.lit(False))
-    suspects = directed.filter(~forward)
-    if suspects.isEmpty():
+    if directed.filter(~forward).isEmpty():
         return directed
-    label = connected_components(directed, "source", "target")
     tagged = directed.join(label.select(F.col("member").alias("source"), F.col("component").alias("_c")), "source", "left").withColumn("_f", forward)
     doubtful = tagged.filter(~F.col("_f")).select("_c").distinct()
-    plain = tagged.join(doubtful, "_c", "left_anti")
-    kind = "struct<source:bigint,target:bigint,score:double,_f:boolean>"
+    suspects = cut(tagged.join(doubtful, "_c", "left_semi").select("_c", F.col("source").cast("bigint").alias("source"), F.col("target").cast("bigint").alias("target"), "score", "_f"))
+    if suspects.count() > limit:
+        suspects = cyclic_core(suspects)
 
-    def keep(series: pd.Series) -> pd.Series:
+    def loops(series: pd.Series) -> pd.Series:
         out = []
         for row in series:
             edges = [(x["source"], x["target"], x["score"], x["_f"]) for x in row]
-            out.append([{"source": edges[k][0], "target": edges[k][1]} for k in sorted(acyclic(edges))])
+            kept = acyclic(edges)
+            out.append([{"source": e[0], "target": e[1]} for k, e in enumerate(edges) if k not in kept])
         return pd.Series(out)
 
-    gathered = tagged.join(doubtful, "_c", "left_semi").groupBy("_c").agg(F.collect_list(F.struct(F.col("source").cast("bigint").alias("source"), F.col("target").cast("bigint").alias("target"), "score", "_f").cast(kind)).alias("e"))
-    good = gathered.select("_c", F.explode(F.pandas_udf(keep, "array<struct<source:bigint,target:bigint>>")("e")).alias("k")).select("k.source", "k.target")
-    rest = tagged.join(doubtful, "_c", "left_semi").join(good, ["source", "target"], "left_semi")
-    return plain.select(*directed.columns).unionByName(rest.select(*directed.columns))
+    gathered = suspects.groupBy("_c").agg(F.collect_list(F.struct("source", "target", "score", "_f")).alias("e"))
+    bad = gathered.select(F.explode(F.pandas_udf(loops, "array<struct<source:bigint,target:bigint>>")("e")).alias("k")).select("k.source", "k.target")
+    return directed.join(bad, ["source", "target"], "left_anti").select(*directed.columns)
 
 
 def descendants(edges: list[tuple[int, int]]) -> dict[int, int]:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenlog.operators import correlation
+from lumenlog.operators import correlation, results
 from lumenlog.operators.correlation import EQUALITY, STRENGTH, STRUCTURAL, WEIGHTS
 from lumenlog.operators.graph import connected_components
-from lumenlog.session import cut, table
+from lumenlog.session import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,12 +96,8 @@ def ranked_causes(spark, d):
 
 @query()
 def primary_components(spark, d):
-    """The component of each analysis with most artifacts, then most nodes; none for single nodes."""
     e = table(spark, d, "evidence")
-    n = cut(correlation.ranked_causes(e)).join(e.select("id", "artifact_id"), "id")
-    c = n.groupBy("analysis_id", "component").agg(F.countDistinct("artifact_id").alias("artifacts"), F.count(F.lit(1)).alias("nodes"))
-    best = F.max(F.struct("artifacts", "nodes", (-F.col("component")).alias("k")))
-    return c.groupBy("analysis_id").agg(best.alias("b")).filter("b.nodes > 1").select("analysis_id", (-F.col("b.k")).alias("component"), "b.artifacts", "b.nodes")
+    return results.primary_components(correlation.ranked_causes(e), e)
 
 
 @query()

@@ -89,3 +89,12 @@ def test_ranks_of_large_groups(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     a = {tuple(r) for r in position(df, ["k"], [F.col("v")], size="n").collect()}
     assert a == {tuple(r) for r in position(df, ["k"], [F.col("v")], size="n", limit=10).collect()}
+
+
+def test_loops_in_tables(spark):
+    rows = [(1, 2, 0.5, 3.0), (2, 3, 0.9, -1.0), (3, 1, 0.8, None), (4, 5, 0.1, -2.0), (6, 7, 0.2, 1.0)]
+    edges = spark.createDataFrame(rows, "source bigint, target bigint, score double, delta_ms double")
+    label = graph.connected_components(edges, "source", "target")
+    want = {(1, 2), (2, 3), (4, 5), (6, 7)}
+    assert {(r["source"], r["target"]) for r in graph.dag_edges(edges, label).collect()} == want
+    assert {(r["source"], r["target"]) for r in graph.dag_edges(edges, label, limit=1).collect()} == want
