@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -55,6 +55,19 @@ def pair_window(left: DataFrame, right: DataFrame, *, seconds: int = 5, late: st
     return l.join(r, (F.col("l.analysis_id") == F.col("r.analysis_id")) & (F.col("l.event_id") != F.col("r.event_id")) & near)
 
 
+def fold_lines(kept: tuple | None, lines: Iterable[tuple[int, str]], starts: Callable[[str], object]) -> tuple[tuple | None, list[tuple]]:
+    """Add (number, line) pairs to the open entry (first, last, text); gives the open and the finished entries."""
+    done: list[tuple] = []
+    for n, line in lines:
+        if kept is None or starts(line):
+            if kept is not None:
+                done.append(kept)
+            kept = (int(n), int(n), line)
+        else:
+            kept = (kept[0], int(n), f"{kept[2]}\n{line}")
+    return kept, done
+
+
 ENTRY = "artifact_id bigint, first_line bigint, last_line bigint, text string"
 
 
@@ -78,13 +91,8 @@ def open_entries(lines: DataFrame, head: str, *, idle_ms: int = 60_000) -> DataF
             yield pd.DataFrame([(key[0], *kept)], columns=["artifact_id", "first_line", "last_line", "text"])
             return
         for pdf in batches:
-            for n, line in pdf.sort_values("line_number")[["line_number", "raw_line"]].itertuples(index=False):
-                if kept is None or starts.match(line):
-                    if kept is not None:
-                        out.append((key[0], *kept))
-                    kept = (int(n), int(n), line)
-                else:
-                    kept = (kept[0], int(n), f"{kept[2]}\n{line}")
+            kept, done = fold_lines(kept, pdf.sort_values("line_number")[["line_number", "raw_line"]].itertuples(index=False), starts.match)
+            out.extend((key[0], *e) for e in done)
         state.update(kept)
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["artifact_id", "first_line", "last_line", "text"])

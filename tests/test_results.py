@@ -38,12 +38,12 @@ def test_fallback_budget(spark):
     assert got == [(1, 0, 100), (1, 1, 100), (2, 9, 800)]
 
 
-def test_open_entries_of_a_stream(spark, tmp_path):
-    rows = [(1, 1, "A one"), (1, 2, " more"), (1, 3, "A two"), (2, 1, "A x"), (2, 2, "A y")]
-    spark.createDataFrame(rows, "artifact_id bigint, line_number bigint, raw_line string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("artifact_id bigint, line_number bigint, raw_line string").parquet(str(tmp_path / "in"))
-    out = incremental.open_entries(stream, "A ", idle_ms=3_600_000)
-    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted((r["artifact_id"], r["first_line"], r["last_line"], r["text"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [(1, 1, 2, "A one\n more"), (2, 1, 1, "A x")]
+def test_open_entries_go_on_in_the_next_batch():
+    import re
+
+    starts = re.compile("A ").match
+    kept, done = incremental.fold_lines(None, [(1, "A one"), (2, " more")], starts)
+    assert done == [] and kept == (1, 2, "A one\n more")
+    kept, done = incremental.fold_lines(kept, [(3, " end"), (4, "A two")], starts)
+    assert done == [(1, 3, "A one\n more\n end")] and kept == (4, 4, "A two")
+    assert incremental.fold_lines(kept, [], starts) == (kept, [])
