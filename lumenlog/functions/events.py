@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenlog.functions.text import EXCEPTION, blank_to_null, first_level, level, level_of_status, normalize_message
+from lumenlog.functions.text import EXCEPTION, blank_to_null, first_level, level_of_status
 
 # Spellings of field names (lower case, without - and _) and the field they stand for.
 FIELD_ALIASES = {
@@ -18,6 +18,7 @@ FIELD_ALIASES = {
     "endpoint": "endpoint", "route": "endpoint", "path": "endpoint", "url": "endpoint",
 }
 FIELDS = tuple(dict.fromkeys(FIELD_ALIASES.values()))
+# Patterns of the data format.
 FIELD = r"\b([A-Za-z][A-Za-z0-9_-]*)\b[\"']?\s*(?:=|:)\s*[\"']?([A-Za-z0-9_./:@?&={}-]+)"
 SPACED = r"(?i)\b(parent[_-]?span[_-]?id|trace[_-]?id|span[_-]?id|request[_-]?id|correlation[_-]?id|x-request-id|service(?:[_-]?name)?|app|component|module|logger|host(?:name)?|node|container(?:[_-]?(?:id|name))?|pod(?:[_-]?name)?|status(?:[_-]?code)?|http[_-]?status|endpoint|route|path|url)\s+([A-Za-z0-9_./:@?&={}-]+)"
 REQUEST = r"(?i)\b(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(\S+)"
@@ -166,6 +167,3 @@ def control_ratio_ok(c: Column) -> Column:
     """Long enough and nearly free of control characters."""
     bad = F.regexp_count(c, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"))
     return (F.length(F.trim(c)) >= 8) & (bad <= F.greatest(F.lit(4), F.floor(F.length(c) / 20)))
-
-
-__all__ = ["access_line", "balancer_line", "cloudfront_row", "control_ratio_ok", "cri_line", "endpoint", "exception_message", "exception_type", "fields", "level", "may_be_important", "normalize_message", "ocr_text", "stack_frames", "syslog_level", "text_event"]

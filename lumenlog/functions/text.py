@@ -22,6 +22,7 @@ LEVEL_ALIASES = {
     "NOTICE": "INFO",
 }
 
+# Patterns of the data format.
 UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
 NUMBER = r"(?U)\b\d+\b"
 LEVEL_WORD = (
