@@ -15,8 +15,6 @@ Three repairs, all as joins and aggregations over lines and words:
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenlog.session import cut
