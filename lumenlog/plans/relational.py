@@ -83,6 +83,13 @@ def fingerprint_long(spark, d):
     return docs.select("doc_id", fingerprint(none, none, none, F.col("text")).alias("fingerprint"))
 
 
+@query()
+def document_fingerprints(spark, d):
+    """Fingerprint of every document in any script; NULL for a NULL text. The SQL engine's \\b and \\d know ASCII only, so none is given."""
+    none = F.lit(None).cast("string")
+    return table(spark, d, "documents").select("doc_id", fingerprint(none, none, none, F.col("text")).alias("fingerprint"))
+
+
 @query("SELECT event_id, sha256(concat_ws('|', coalesce(lower(nullif(trim(trace_id),'')), '__none__'), coalesce(lower(nullif(trim(request_id),'')), '__none__'), coalesce(lower(nullif(trim(span_id),'')), '__none__'))) AS correlation_key FROM parsed_events")
 def correlation_key(spark, d):
     return table(spark, d, "parsed_events").select("event_id", same_key(F.lit(None).cast("string"), F.col("trace_id"), F.col("request_id"), F.col("span_id")).alias("correlation_key"))
