@@ -67,7 +67,7 @@ def iso_times(spark, d):
 def fallback_contexts(spark, d):
     """Excerpts of the pages of scans, one text per page, within the budget of each scan."""
     p = table(spark, d, "scanned_pages").select(F.col("artifact_id").alias("analysis_id"), F.col("page_id").alias("artifact_id"), F.col("extracted_text").alias("text"))
-    return results.fallback_contexts(p, each=1024, together=8192)
+    return results.fallback_contexts(p)
 
 
 @query("SELECT doc_id, length(trim(text)) >= 8 AND coalesce(len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]')), 0) <= greatest(4, length(text) // 20) AS usable FROM documents")
