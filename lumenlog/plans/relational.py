@@ -228,7 +228,7 @@ def round_robin(spark, d):
 
 @query()
 def bounded_selection(spark, d):
-    return rollup.bounded_selection(table(spark, d, "evidence"), records=40, size=4096)
+    return rollup.bounded_selection(table(spark, d, "evidence"))
 
 
 _STATIC_SQL = f"""WITH f AS (SELECT analysis_id, fingerprint, count(*) AS n FROM evidence GROUP BY 1, 2), b AS (SELECT analysis_id, trace_id FROM evidence WHERE nullif(trace_id, '') IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT artifact_id) > 1),

@@ -11,6 +11,8 @@ from lumenlog.sources import readers
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Rows and bytes of evidence that one analysis shows.
+SHOWN_RECORDS, SHOWN_BYTES = 5_000, 20 * 1024 * 1024
 
 
 def query(oracle: str | None = None):
@@ -43,7 +45,7 @@ def top_causes(spark, d):
 @query()
 def fitting_components(spark, d):
     e, _, ranked = _ranked(spark, d)
-    return results.fitting_components(ranked, e, size=64 * 1024)
+    return results.fitting_components(ranked, e)
 
 
 @query()
@@ -54,8 +56,11 @@ def component_documents(spark, d):
 
 @query()
 def simple_documents(spark, d):
+    """The evidence of each analysis as it is shown: bounded only above 5,000 rows, then in bytes too."""
     e = table(spark, d, "evidence")
-    return results.simple_documents(rollup.bounded_selection(e, records=40, size=4096), e)
+    large = e.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHOWN_RECORDS).select("analysis_id")
+    bounded = rollup.bounded_selection(e.join(large, "analysis_id", "left_semi"), records=SHOWN_RECORDS, size=SHOWN_BYTES)
+    return results.simple_documents(e.join(large, "analysis_id", "left_anti").select("analysis_id", "id").unionByName(bounded), e)
 
 
 @query("SELECT id, CASE WHEN extract('microsecond' FROM first_seen) % 1000000 = 0 THEN strftime(first_seen, '%Y-%m-%dT%H:%M:%S') ELSE strftime(first_seen, '%Y-%m-%dT%H:%M:%S.%f') END AS first_seen_iso FROM evidence")
