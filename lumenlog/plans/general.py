@@ -38,16 +38,27 @@ def p5_found(spark, d):
     return nested.records_with_resource_keys(table(spark, d, "otlp_exports"))
 
 
+def _spans(spark, d):
+    return table(spark, d, "evidence").select("trace_id", "span_id", "parent_span_id")
+
+
 def p6_found(spark, d):
-    spans = table(spark, d, "evidence").select("trace_id", "span_id", "parent_span_id")
-    return hierarchy.hierarchies(spans).select("trace_id", "span_id", "root_span_id", "depth")
+    return hierarchy.roots(_spans(spark, d))
+
+
+def p6_hierarchies(spark, d):
+    return hierarchy.hierarchies(_spans(spark, d))
+
+
+def p6_descendants(spark, d):
+    return hierarchy.descendants(_spans(spark, d))
 
 
 def p7_found(spark, d):
     return loglines.parse_entries(table(spark, d, "raw_lines")).select("artifact_id", "first_line", "last_line", "level", "component")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_hierarchies": p6_hierarchies, "p6_descendants": p6_descendants, "p7_found": p7_found}
 
 _SPANS = """WITH RECURSIVE ids AS (SELECT lower(trim(trace_id)) AS t, lower(trim(span_id)) AS s, lower(trim(parent_span_id)) AS p FROM evidence WHERE nullif(trim(trace_id), '') IS NOT NULL AND nullif(trim(span_id), '') IS NOT NULL),
 n AS (SELECT DISTINCT t, s FROM ids), l AS (SELECT n.t, n.s, min(k.p) AS p FROM n LEFT JOIN (SELECT i.* FROM ids i JOIN n q ON q.t = i.t AND q.s = i.p WHERE regexp_matches(i.p, '[^0-]')) k ON k.t = n.t AND k.s = n.s GROUP BY 1, 2),
