@@ -35,6 +35,7 @@ class Automaton:
         self.link, self.length = [-1], [0]
         self.ends: list[list[tuple[int, int]]] = [[]]
         self.sizes: list[int] = []
+        self.top: list[int] = [0]
 
     def _state(self, length: int, edges: dict[str, int], link: int) -> int:
         self.next.append(edges)
@@ -71,31 +72,57 @@ class Automaton:
             self.ends[last].append((item, k + 1))
 
     def close(self, shortest: int) -> None:
-        """Carry the occurrences up to every state that stands for long enough matches."""
+        """Carry the occurrences up to every state that stands for long enough matches.
+
+        top of a state is its last suffix state of those: it holds every
+        occurrence of the last ``shortest`` words.
+        """
         order = sorted(range(1, len(self.next)), key=lambda s: -self.length[s])
         for s in order:
             up = self.link[s]
             if up > 0 and self.length[up] >= shortest:
                 self.ends[up] = list({*self.ends[up], *self.ends[s]})
+        self.top = list(range(len(self.next)))
+        for s in reversed(order):
+            if self.length[self.link[s]] >= shortest:
+                self.top[s] = self.top[self.link[s]]
 
     def matches(self, sequence: list[str], shortest: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
-        """(end, length, occurrences) of every maximal match of at least ``shortest`` words."""
+        """(end, length, occurrences) of the longest common runs of at least ``shortest`` words with each place of each item.
+
+        A run ends where its own occurrence does not go on with the next word,
+        whether or not others do.
+        """
         s, n = 0, 0
+        edges, ends, top = self.next, self.ends, self.top
         for k, w in enumerate(sequence):
-            if w in self.next[s]:
-                s, n = self.next[s][w], n + 1
-                continue
             if n >= shortest:
-                yield k, n, self.ends[s]
-            while s > 0 and w not in self.next[s]:
+                t = top[s]
+                after = edges[t].get(w)
+                if after is None or len(ends[after]) != len(ends[t]):
+                    yield from self._ended(k, s, n, after)
+            to = edges[s].get(w)
+            while to is None and s > 0:
                 s = self.link[s]
                 n = self.length[s]
-            if w in self.next[s]:
-                s, n = self.next[s][w], n + 1
-            else:
-                s, n = 0, 0
+                to = edges[s].get(w)
+            s, n = (0, 0) if to is None else (to, n + 1)
         if n >= shortest:
-            yield len(sequence), n, self.ends[s]
+            yield from self._ended(len(sequence), s, n, None)
+
+    def _ended(self, k: int, s: int, n: int, after: int | None) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """Runs that end before word k: the state's occurrences, then those of each shorter suffix."""
+        last = self.top[s]
+        done = {(item, at - 1) for item, at in self.ends[after]} if after is not None else set()
+        while True:
+            found = [x for x in self.ends[s] if x not in done]
+            if found:
+                yield k, n, found
+            if s == last:
+                return
+            done.update(found)
+            s = self.link[s]
+            n = self.length[s]
 
 
 def stretches(parts: list[tuple[int, int, int]], slip: int, insert: int) -> list[tuple[int, int, int, int]]:
