@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lumenlog.session import cut
+
 NODE = "doc {key}, table string, label array<int>, positions array<int>, scalars map<string,string>"
 
 
@@ -101,6 +103,13 @@ SCOPES = "resourceLogs[].scopeLogs[]"
 SCOPE_NAMES = "resourceLogs[].scopeLogs[].scope"
 RECORDS = "resourceLogs[].scopeLogs[].logRecords[]"
 VALUES = "resourceLogs[].resource.attributes[].value"
+SPAN_SCOPES = "resourceSpans[].scopeSpans[]"
+SPANS = f"{SPAN_SCOPES}.spans[]"
+SPAN_EVENTS = f"{SPANS}.events[]"
+#: Attributes of span resources, spans and events of spans.
+SPAN_ATTRIBUTES = ("resourceSpans[].resource.attributes[]", f"{SPANS}.attributes[]", f"{SPAN_EVENTS}.attributes[]")
+#: Steps of the label of a span resource, scope and span.
+RESOURCE_STEPS, SCOPE_STEPS, SPAN_STEPS = 2, 4, 6
 
 
 def otlp_tables(exports: DataFrame) -> dict[str, DataFrame]:
@@ -126,6 +135,55 @@ def otlp_tables(exports: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def span_tables(exports: DataFrame) -> dict[str, DataFrame]:
+    """span_resources, span_scopes, spans, span_events and span_attributes of ``otlp_exports``.
+
+    Keys are as in ``otlp_tables``. span_attributes holds those of resources,
+    spans and events; parent_label is the label of the owner.
+    """
+    paths = ["resourceSpans[]", SPAN_SCOPES, f"{SPAN_SCOPES}.scope", SPANS, f"{SPANS}.status", SPAN_EVENTS, *SPAN_ATTRIBUTES, *(f"{x}.value" for x in SPAN_ATTRIBUTES)]
+    nodes = cut(flatten(exports, "export_id", "payload", tables=paths))
+    of = lambda *t: nodes.filter(F.col("table").isin(*t))
+    pos = lambda k: F.try_element_at("positions", F.lit(k + 1))
+    s = lambda k: F.try_element_at("scalars", F.lit(k))
+    base = [F.col("doc").alias("export_id"), "label"]
+    merged = lambda own, inner, *c: of(own, inner).groupBy(F.col("doc").alias("export_id"), F.when(F.col("table") == inner, parent_label(F.col("label"), 1)).otherwise(F.col("label")).alias("label")).agg(F.first(F.when(F.col("table") == own, F.struct("positions", "scalars")), ignorenulls=True).alias("o"), F.first(F.when(F.col("table") == inner, F.col("scalars")), ignorenulls=True).alias("i")).filter("o is not null").withColumns({"positions": F.col("o.positions"), "scalars": F.col("o.scalars")})
+    inner = lambda k: F.try_element_at("i", F.lit(k))
+    attributes = None
+    for t in SPAN_ATTRIBUTES:
+        steps = 3 if t.startswith("resourceSpans[].resource.") else 2
+        part = merged(t, f"{t}.value").select("export_id", "label", parent_label(F.col("label"), steps).alias("parent_label"), F.element_at("positions", -1).alias("attr_pos"), s("key").alias("attr_key"), F.try_element_at(F.map_values("i"), F.lit(1)).alias("attr_value"))
+        attributes = part if attributes is None else attributes.unionByName(part)
+    return {
+        "span_resources": of("resourceSpans[]").select(*base, pos(0).alias("res_pos")),
+        "span_scopes": merged(SPAN_SCOPES, f"{SPAN_SCOPES}.scope").select("export_id", "label", parent_label(F.col("label"), 2).alias("parent_label"), pos(0).alias("res_pos"), pos(1).alias("scope_pos"), inner("name").alias("scope_name")),
+        "spans": merged(SPANS, f"{SPANS}.status").select("export_id", "label", parent_label(F.col("label"), 2).alias("parent_label"), pos(0).alias("res_pos"), pos(1).alias("scope_pos"), pos(2).alias("span_pos"), s("traceId").alias("trace_id"), s("spanId").alias("span_id"), s("parentSpanId").alias("parent_span_id"), s("name").alias("name"), s("startTimeUnixNano").alias("time_raw"), inner("code").alias("status_code"), inner("message").alias("status_message")),
+        "span_events": of(SPAN_EVENTS).select(*base, parent_label(F.col("label"), 2).alias("parent_label"), pos(3).alias("event_pos"), s("name").alias("name")),
+        "span_attributes": attributes,
+    }
+
+
+def spans_as_events(exports: DataFrame) -> DataFrame:
+    """One canonical event per span: ERROR by its status or an exception event, else INFO."""
+    t = span_tables(exports)
+    wide = lambda rows, **names: rows.groupBy("export_id", F.col("parent_label").alias("owner")).agg(*(F.coalesce(*(F.max_by("attr_value", F.when((F.col("attr_key") == k) & F.col("attr_value").isNotNull(), F.col("attr_pos"))) for k in keys)).alias(c) for c, keys in names.items()))
+    a = cut(t["span_attributes"])
+    own = lambda steps: a.filter(F.size("parent_label") == steps)
+    resource = wide(own(RESOURCE_STEPS), service=("service.name", "faas.name"), host=("host.name", "host.id", "cloud.availability_zone"), container=("container.name", "container.id"), pod=("k8s.pod.name", "k8s.pod.uid")).withColumnRenamed("owner", "_r")
+    span = wide(own(SPAN_STEPS), request_id=("request.id", "http.request.id", "correlation.id"), endpoint=("http.route", "url.path", "http.target", "rpc.method"), http_status=("http.response.status_code", "http.status_code")).withColumnRenamed("owner", "label")
+    failed = t["span_events"].filter(F.lower("name") == "exception").groupBy("export_id", F.col("parent_label").alias("_s")).agg(F.min_by("label", "event_pos").alias("owner"))
+    raised = failed.join(wide(own(SPAN_STEPS + 2), exception_type=("exception.type",), exception_message=("exception.message",)), ["export_id", "owner"], "left").withColumnRenamed("_s", "label").withColumnRenamed("owner", "_e")
+    scope = t["span_scopes"].select("export_id", F.col("label").alias("parent_label"), F.col("scope_name").alias("module"))
+    j = t["spans"].withColumn("_r", F.slice("label", 1, RESOURCE_STEPS)).join(scope, ["export_id", "parent_label"], "left").join(resource, ["export_id", "_r"], "left").join(span, ["export_id", "label"], "left").join(raised, ["export_id", "label"], "left")
+    error = F.coalesce(F.upper("status_code").isin("2", "ERROR", "STATUS_CODE_ERROR"), F.lit(False)) | F.col("_e").isNotNull()
+    told = lambda c: F.nullif(F.col(c), F.lit(""))
+    message = F.coalesce(told("exception_message"), told("status_message"), F.concat(F.lit("OpenTelemetry span: "), F.coalesce("name", F.lit("unnamed"))))
+    return j.select(
+        "export_id", "res_pos", "scope_pos", "span_pos", "time_raw", F.when(error, "ERROR").otherwise("INFO").alias("level"), *(told(c).alias(c) for c in ("trace_id", "span_id", "parent_span_id", "request_id", "service", "module", "host", "container", "pod", "endpoint")),
+        F.col("http_status").try_cast("int").alias("http_status"), told("exception_type").alias("exception_type"), told("exception_message").alias("exception_message"), F.lit("opentelemetry").alias("source_format"), message.alias("message"),
+    )
+
+
 def records_with_resource_keys(exports: DataFrame) -> DataFrame:
     """One row per log record and distinct attribute key of its resource.
 

@@ -110,6 +110,12 @@ def otlp_records(spark, d):
     return t.select("export_id", "res_pos", "scope_pos", "rec_pos", "trace_id", "span_id", "time_raw", "severity")
 
 
+@query()
+def otlp_spans(spark, d):
+    """The spans of OTLP exports as canonical events."""
+    return nested.spans_as_events(table(spark, d, "otlp_exports"))
+
+
 @query()
 def log_entries(spark, d):
     """Entries with all fields; the time of each as an instant, read in UTC where it names no zone."""

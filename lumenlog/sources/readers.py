@@ -97,6 +97,11 @@ def otlp(documents: DataFrame) -> dict[str, DataFrame]:
     return nested.otlp_tables(documents.select(F.xxhash64("file").alias("export_id"), F.col("value").alias("payload")))
 
 
+def otlp_spans(documents: DataFrame) -> DataFrame:
+    """Canonical events of the spans of (file, value) OTLP documents."""
+    return nested.spans_as_events(documents.select(F.xxhash64("file").alias("export_id"), F.col("value").alias("payload")))
+
+
 def log_entries(lines: DataFrame) -> DataFrame:
     """Entries with fields of (file, line_number, line)."""
     ids = lines.select(F.xxhash64("file").alias("artifact_id"), "line_number", F.col("line").alias("raw_line"))
