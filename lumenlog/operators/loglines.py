@@ -20,7 +20,7 @@ from lumenlog.functions.text import blank_to_null
 from lumenlog.session import cut
 
 BLOCK = 4096
-#: Blocks that an entry may go on for.
+#: Blocks after its first whose lines an entry's text holds where the text is bounded.
 OPEN_BLOCKS = 16
 HEAD_TOKENS = 9
 #: A slot with fewer different words than this is constant once it was seen often enough.
@@ -61,13 +61,13 @@ def clean_lines(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.withColumn("_p", F.lag("line_number").over(w)).filter("_p is null or _p <> line_number").drop("_p")
 
 
-def entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+def entries(lines: DataFrame, block: int = BLOCK, *, text_blocks: int | None = None) -> DataFrame:
     """(artifact_id, first_line, last_line, head, text): physical lines put together.
 
     A partial container line goes on with the next line of its stream. Lines
-    before the first head of a file form entries of their own, one per block,
-    and so do lines more than OPEN_BLOCKS blocks behind the last head, which
-    bounds what one entry can hold.
+    before the first head of a file form one entry. With ``text_blocks`` the
+    text of an entry holds the lines of so many blocks after its first, but
+    all of an object; first_line and last_line are those of the whole entry.
     """
     rows = clean_lines(lines, block)
     rows = rows.withColumns({"_head": F.col("text").rlike(HEAD), "_open": F.regexp_extract("text", CRI, 3) == "P"})
@@ -78,19 +78,21 @@ def entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = rows.join(opened, ["artifact_id", "block"]).withColumn(
         "_head", F.col("_head") & ~F.coalesce(F.lag("_open").over(w), F.col("_o"))
     )
-    last = rows.groupBy("artifact_id", "block").agg(F.max(F.when(F.col("_head"), F.col("line_number"))).alias("_l"), F.min("line_number").alias("_f"))
-    carried = last.select("artifact_id", "block", "_f", F.max("_l").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
-    carried = carried.withColumn("_c", F.when(F.col("block") - F.floor(F.col("_c") / block) <= OPEN_BLOCKS, F.col("_c")))
-    start = F.max(F.when(F.col("_head"), F.col("line_number"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    opening = F.when(F.col("_head"), F.struct(F.col("line_number").alias("n"), F.col("text").rlike(r"^\s*\{").alias("object")))
+    last = rows.groupBy("artifact_id", "block").agg(F.max(opening).alias("_l"), F.min("line_number").alias("_f"))
+    so_far = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = last.select("artifact_id", "block", F.struct(F.min("_f").over(so_far).alias("n"), F.lit(False).alias("object")).alias("_f"), F.max("_l").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
+    start = F.max(opening).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("_s", start).join(carried, ["artifact_id", "block"]).withColumn("_s", F.coalesce("_s", "_c", "_f"))
-    grouped = rows.groupBy("artifact_id", "_s").agg(F.array_sort(F.collect_list(F.struct("line_number", "text"))).alias("l"))
+    held = F.lit(True) if text_blocks is None else F.col("_s.object") | (F.col("block") - F.floor(F.col("_s.n") / block) <= text_blocks)
+    grouped = rows.groupBy("artifact_id", F.col("_s.n").alias("_s")).agg(F.array_sort(F.collect_list(F.when(held, F.struct("line_number", "text")))).alias("l"), F.max("line_number").alias("last_line"))
     parts = F.transform("l", lambda x: x["text"])
     partial = F.size("l") > 1
     cri = F.regexp_extract(F.col("l")[0]["text"], CRI, 3) != ""
     body = F.array_join(F.transform(parts, lambda t: F.regexp_extract(t, CRI, 4)), "")
     whole = F.when(cri & partial, F.concat(F.regexp_extract(F.col("l")[0]["text"], rf"^({TIME}) (stdout|stderr)", 0), F.lit(" F "), body)).otherwise(F.array_join(parts, "\n"))
     return grouped.select(
-        "artifact_id", F.col("l")[0]["line_number"].alias("first_line"), F.element_at("l", -1)["line_number"].alias("last_line"), whole.alias("text"),
+        "artifact_id", F.col("l")[0]["line_number"].alias("first_line"), "last_line", whole.alias("text"),
     )
 
 
@@ -170,15 +172,16 @@ def _level_name(c: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for k, v in LEVELS.items() for x in (k, v))), F.upper(c))
 
 
-def parse_entries(lines: DataFrame, block: int = BLOCK) -> DataFrame:
+def parse_entries(lines: DataFrame, block: int = BLOCK, *, text_blocks: int | None = None) -> DataFrame:
     """(artifact_id, first_line, last_line, time_raw, level, component, message, text).
 
     level is canonical and '' where the entry states none, component as
     written and '' where the entry names none, time_raw NULL where none was
     found. Level words elsewhere in the message do not count. An empty table
-    gives an empty result.
+    gives an empty result. ``text_blocks`` bounds text and message, see
+    ``entries``; lines, level and component do not depend on it.
     """
-    heads = cut(typed_heads(entries(lines, block)))
+    heads = cut(typed_heads(entries(lines, block, text_blocks=text_blocks)))
     layout = templates(heads)
     rows = heads.join(layout, "types", "left").withColumn("_at", _component_place())
     head = F.substring_index("text", "\n", 1)
