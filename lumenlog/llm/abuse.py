@@ -1,112 +1,118 @@
 """Abusive, hateful or sexual content (problem 10).
 
-A linear classifier over the words of a sentence, fitted on rated documents.
-Only documents are rated, so the sentence of a rated document that scores
-highest stands for it (multiple instances). Every training sentence that names
-a group is paired with counterfactuals in which other groups are named, and
-the difference of the scores is penalised, so that naming a group by itself
-moves nothing. Disguised spellings (look-alike letters, digits for letters,
-invisible signs, stretched, spaced, starred or swapped letters) are read as
-the word they hide before scoring.
+A linear classifier over the words of a sentence, learned from rated documents
+alone. Only documents are rated, so the best scoring sentence of a document
+rated offensive stands for it (multiple instances): the first choice follows
+how much more often its words come in such documents, later ones the
+classifier. Every training sentence that names people is paired with
+counterfactuals in which other people, or nobody in particular, are named, and
+the squared difference of the two scores is part of the loss, so that naming a
+group moves nothing. Words that the first fit found telling are then looked for
+in disguise (look-alike letters, digits for letters, invisible signs,
+stretched, spaced, starred or swapped letters), and the classifier is fitted
+again on the words so read.
+
+Texts are read in arrays: one pattern splits a whole batch, distinct words are
+looked at once, and the features are sums over arrays of hashes.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lumenlog.session import free
 
-#: Bound of the sample of rated documents that the classifier is fitted on.
+#: Bounds of the sample of rated documents that the classifier is fitted on: documents, and characters in all.
 MAX_RATED = 20_000
+MAX_CHARACTERS = 64_000_000
 #: Score from which a document counts as flagged.
 THRESHOLD = 0.5
 #: Score before the logistic of a sentence of unknown words, kept fixed: what nobody rated is not flagged.
 UNKNOWN = -2.0
-#: Longest sentence in words that is scored as one; longer ones are scored in windows of this many words, half overlapping.
-WINDOW = 60
-
-# Words for groups of people in neutral and hostile sentences alike.
-GROUPS = (
-    "ostrelians fenwalkers tavenese brackish marrowfolk women men girls boys christians muslims jews hindus buddhists atheists "
-    "africans asians europeans americans germans french spaniards mexicans poles turks arabs chinese indians russians immigrants "
-    "refugees foreigners gays lesbians"
+#: Words of a window and of a step: sentences longer than a window are scored whole and in windows.
+WINDOW, STEP = 12, 4
+#: Characters read at once.
+CHUNK = 2_000_000
+
+# General words for people, swapped for each other in counterfactuals, and words for nobody in particular.
+PEOPLE = (
+    "people women men woman man girls boys christians muslims jews hindus buddhists atheists africans asians europeans americans germans "
+    "french spaniards mexicans poles turks arabs chinese indians russians immigrants refugees foreigners gays lesbians "
+    "frauen männer ausländer juden muslime femmes hommes étrangers juifs musulmans mujeres hombres extranjeros judíos musulmanes"
 ).split()
-
-# Sentences that stand for the kinds of content looked for, used as first examples beside the rated documents.
-SEEDS = (
-    "you are a stupid idiot", "you are a worthless moron", "shut up you pathetic loser", "nobody asked you you useless imbecile",
-    "what a brainless halfwit you are", "you miserable cretin", "you spineless dimwit", "you disgusting scumbag", "you gutless asshole", "you bastard",
-    "you filthy pig", "you dumbass", "i will smash your face", "i will find out where you live", "you will regret it i kill you", "go jump off the roof",
-    "i hope you choke and die", "do us a favour and stop breathing", "nobody would miss you if you vanished", "your family must be proud of such garbage",
-    "they are vermin and should be thrown out", "they breed like rats", "drown them all", "send them back and wipe out the rest of them", "they are liars by blood",
-    "it is in their blood they cannot be trusted", "people of your kind should not be allowed to breed", "too stupid by nature for this work",
-    "send me nude pics of yourself", "show me your tits babe", "i want you naked tonight", "she is so horny she would screw anyone",
-    "i jerk off thinking about her", "come to my room and take everything off", "strip for me",
-    "du bist ein wertloser idiot", "halt die fresse du dummes schwein", "so einen vollidioten", "sie sind ungeziefer raus mit ihnen", "zieh dich aus und schick mir nacktbilder",
-    "tu n'es qu'un pauvre crétin un connard inutile", "ferme ta gueule espèce d'imbécile", "ils sont de la vermine dehors", "envoie-moi des photos de toi nue",
-    "eres un idiota inútil y un cabrón", "cállate pedazo de imbécil", "son ratas que se larguen", "mándame fotos tuyas desnuda",
-)
-# Words of the seeds that a disguise may hide.
-HIDEABLE = (
-    "stupid idiot moron loser imbecile halfwit cretin dimwit scumbag asshole bastard dumbass pig vermin rats garbage horny screw tits naked nude "
-    "worthless useless pathetic brainless spineless gutless disgusting miserable filthy smash choke drown breed babe jerk strip "
-    "wertloser dummes schwein fresse vollidioten ungeziefer nacktbilder crétin connard gueule vermine nue idiota inútil cabrón imbécil ratas desnuda"
-).split()
-# Of these, the words that call a person names.
-INSULTS = frozenset(
-    "stupid idiot moron loser imbecile halfwit cretin dimwit scumbag asshole bastard dumbass pig worthless useless pathetic brainless spineless "
-    "gutless disgusting miserable filthy schwein vollidioten crétin connard idiota cabrón imbécil".split()
-)
+NEUTRAL = ("engineers", "colleagues", "customers")
 # Letters of other scripts and signs that look like Latin letters.
-LOOKALIKE = str.maketrans("аеорсухіјѕԁһкмтвнΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορνικ", "aeopcyxijsdhkmtbhABEZHIKMNOPTYXaopvik")
+LOOKALIKE = dict(zip("аеорсухіјѕԁһкмтвнΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορνικ", "aeopcyxijsdhkmtbhABEZHIKMNOPTYXaopvik", strict=True))
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "|": "l"})
+_LOOK = re.compile(f"[{''.join(LOOKALIKE)}]")
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
-_SPEAKER = re.compile(r"^\s*(?:\[[^\]\n]{0,20}\]\s*)?[\w.-]{1,24}(?:\s+wrote)?:\s+", re.M)
+_SPEAKER = re.compile(r"^[^\S\n]*(?:\[[^\]\n]{0,20}\][^\S\n]*)?[\w.-]{1,24}(?:[^\S\n]+wrote)?:[^\S\n]+", re.M)
 _TAG = re.compile(r"<[^<>]{0,200}>")
-_BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
-#: Two sentences run together without a stop: a capital follows a small word.
-_RUN_ON = re.compile(r"(?<=[a-z]) (?=[A-Z][a-z]* [a-z])")
 _SPELT = re.compile(r"(?<!\w)(?:\w[ .*_-]){3,}\w(?!\w)")
-_TOKEN = re.compile(r"[^\W_][\w*$@!'’|.-]*[\w*]|\w")
+_NUMBER = re.compile(r"(?<![\w*$@])\d(?:[\d.,:/-]*\d)?(?![\w*$@])")
+#: Words, ends of sentences, and the mark between two texts.
+_PIECE = re.compile(r"[^\W_][\w*$@!'’|.-]*[\w*]|\w|(?<=[.!?])\s+|\n+|\x02")
 _STRETCH = re.compile(r"(.)\1{2,}")
+#: Odd factors that tell the places of a word in a feature apart.
+_A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+
+def code(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
 
 
 class Reader:
-    """Reads sentences to canonical words; ``hideable`` are the words a disguise may hide."""
+    """Reads words to their plain form; ``hidden`` are the words a disguise may hide, ``common`` words that are none."""
 
-    def __init__(self, hideable: frozenset[str], common: frozenset[str]) -> None:
-        self.hideable, self.common = hideable, common
+    def __init__(self, hidden: frozenset[str] = frozenset(), common: frozenset[str] = frozenset()) -> None:
+        self.hidden, self.common = hidden, common
         self.by_letters: dict[str, list[str]] = defaultdict(list)
         self.by_length: dict[int, list[str]] = defaultdict(list)
-        for w in sorted(hideable):
+        for w in sorted(hidden):
             self.by_letters["".join(sorted(w))].append(w)
             self.by_length[len(w)].append(w)
-        self.seen: dict[str, str] = {}
+        self.seen: dict[str, tuple[str, int, int]] = {}
 
-    def word(self, raw: str) -> str:
+    def piece(self, raw: str) -> tuple[str, int, int]:
+        """(word, code, kind): kind 0 for a word, 1 capitalised, 2 in capitals, 3 an end of a sentence, 4 of a text."""
         got = self.seen.get(raw)
         if got is None:
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            got = self.seen[raw] = self._word(raw)
+            if raw == "\x02" or raw.isspace():
+                got = "", 0, 4 if raw == "\x02" else 3
+            else:
+                w = self.word(raw.lower())
+                got = w, code(w), 1 if raw.istitle() else 2 if raw.isupper() else 0
+            self.seen[raw] = got
         return got
 
-    def _word(self, raw: str) -> str:
+    def word(self, raw: str) -> str:
         w = raw.strip(".!|'’-").replace("’", "'")
-        if w in self.hideable or w in self.common:
+        if w in self.hidden or w in self.common:
             return w
         if "-" in w and not re.search(r"[*$@]", w) and max(map(len, w.split("-"))) > 2:
             return "#name"
+        if self.hidden:
+            found = self._disguised(w)
+            if found:
+                return found
+        if re.search(r"\d", w):
+            return "#number"
+        return _STRETCH.sub(r"\1", w)
+
+    def _disguised(self, w: str) -> str | None:
         for reading in self._readings(w):
-            if reading in self.hideable:
+            if reading in self.hidden:
                 return reading
         if "*" in w and re.search(r"[^\W\d_]", w):
             pattern = re.compile("".join("." if c == "*" else re.escape(c) for c in w))
@@ -118,9 +124,7 @@ class Reader:
                 k = next((k for k in range(len(w)) if w[k] != x[k]), None)
                 if k is not None and k + 1 < len(w) and w[k] == x[k + 1] and w[k + 1] == x[k] and w[k + 2 :] == x[k + 2 :]:
                     return x
-        if re.search(r"\d", w):
-            return "#number"
-        return _STRETCH.sub(r"\1", w)
+        return None
 
     def _readings(self, w: str) -> Iterator[str]:
         leet = w.translate(LEET)
@@ -130,167 +134,372 @@ class Reader:
                 yield y
                 yield _STRETCH.sub(r"\1", y)
                 yield _STRETCH.sub(r"\1\1", y)
-
-    def words(self, sentence: str) -> list[str]:
-        return [self.word(t) for t in _TOKEN.findall(sentence)]
-
-    def sentences(self, text: str) -> Iterator[list[str]]:
-        t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-        t = _TAG.sub("\n", t).translate(LOOKALIKE)
-        t = _SPEAKER.sub("", t)
-        t = _SPELT.sub(lambda m: re.sub(r"[ .*_-]", "", m.group()), t)
-        for s in _BREAK.split(t):
-            yield from self._parts(s.lower())
-            runs = _RUN_ON.split(s)
-            if len(runs) > 1:
-                for run in runs:
-                    if run.count(" ") >= 4:
-                        yield from self._parts(run.lower())
-
-    def _parts(self, sentence: str) -> Iterator[list[str]]:
-        w = self.words(sentence)
-        for k in range(0, len(w) - WINDOW // 2, WINDOW // 2) if len(w) > WINDOW else (0,):
-            part = w[k : k + WINDOW]
-            if part:
-                yield part
-
-
-def features(words: list[str]) -> list[str]:
-    """Words, neighbouring pairs and pairs one apart; pairs also with any insult for each."""
-    w = ["<", *words, ">"]
-    out = set(words)
-    out.update(f"{a} {b}" for a, b in zip(w, w[1:]))
-    out.update(f"{a} _ {b}" for a, b in zip(w, w[2:]))
-    if not INSULTS.isdisjoint(words):
-        c = ["#insult" if x in INSULTS else x for x in w]
-        out.update(f"{a} {b}" for a, b in zip(c, c[1:]) if "#insult" in (a, b))
-        out.update(f"{a} _ {b}" for a, b in zip(c, c[2:]) if "#insult" in (a, b))
-        out.add("#insult")
-    return sorted(out)
-
-
-def swapped(words: list[str], to: str) -> list[str] | None:
-    """The sentence with every group word replaced by another, None if it names none."""
-    if not any(w in _GROUPSET for w in words):
-        return None
-    return [to if w in _GROUPSET else w for w in words]
-
-
-_GROUPSET = frozenset(GROUPS)
-
-
+                if y[:1] in "ai":  # an article spelt out with the word
+                    yield y[1:]
+
+    def read(self, texts: Sequence[str | None]) -> Iterator[Sentences]:
+        """The sentences of the texts, in chunks of whole texts; ``first`` is the number of a chunk's first text."""
+        chunk: list[str] = []
+        size = first = 0
+        for k, t in enumerate(texts):
+            t = t or ""
+            if chunk and size + len(t) > CHUNK:
+                yield self._chunk(chunk, first)
+                chunk, size, first = [], 0, k
+            chunk.append(t.replace("\x02", " ") if "\x02" in t else t)
+            size += len(t)
+        if chunk:
+            yield self._chunk(chunk, first)
+
+    def _chunk(self, texts: list[str], first: int) -> Sentences:
+        t = "\n\x02\n".join(texts)
+        if not t.isascii():
+            t = _INVISIBLE.sub("", t if unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+            t = _LOOK.sub(lambda m: LOOKALIKE[m.group()], t)
+        t = _SPEAKER.sub("", _TAG.sub("\n", t))
+        t = _NUMBER.sub("0", _SPELT.sub(lambda m: re.sub(r"[ .*_-]", "", m.group()), t))
+        pieces = _PIECE.findall(t)
+        which, distinct = pd.factorize(np.array(pieces, dtype=object))
+        looked = [self.piece(p) for p in distinct]
+        kinds = np.array([x[2] for x in looked], dtype=np.int8)[which] if looked else np.zeros(0, np.int8)
+        hashes = np.array([x[1] for x in looked], dtype=np.uint64)
+        word = kinds < 3
+        sentence = np.cumsum(~word)[word]
+        text = np.cumsum(kinds == 4)[word] + first
+        which = which[word]
+        starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]]) if len(which) else np.zeros(0, np.int64)
+        return Sentences(hashes[which], kinds[word], starts, text[starts] if len(which) else text, which, [x[0] for x in looked])
+
+
+@dataclass
+class Sentences:
+    """Words of many sentences in a row: codes, kinds; per sentence its start and its text's number."""
+
+    codes: np.ndarray
+    kinds: np.ndarray
+    starts: np.ndarray
+    text: np.ndarray
+    which: np.ndarray
+    words: list[str]
+
+    def features(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, codes): words, neighbours and words one apart within a sentence."""
+        h, n = self.codes, len(self.codes)
+        every = np.arange(n)
+        yield every, h
+        opens = np.zeros(n, dtype=bool)
+        opens[self.starts] = True
+        k = every[1:][~opens[1:]]
+        yield k, h[k - 1] * _A + h[k] * _B
+        k = k[~opens[k - 1]]
+        yield k, h[k - 2] * _C + h[k] * _D
+
+    def cut(self, a: int, b: int) -> Sentences:
+        """Words a to b as one sentence."""
+        return Sentences(self.codes[a:b], self.kinds[a:b], np.zeros(1, np.int64), self.text[:1], self.which[a:b], self.words)
+
+    def every(self) -> np.ndarray:
+        return np.concatenate([c for _, c in self.features()])
+
+    def phrase(self, a: int, b: int) -> str:
+        return " ".join(self.words[x] for x in self.which[a:b])
+
+
+@dataclass
 class Classifier:
-    """Sparse weights; the score of a sentence is the logistic of their sum."""
-
-    def __init__(self, weights: dict[str, float], bias: float, reader: Reader) -> None:
-        self.weights, self.bias, self.reader = weights, bias, reader
-
-    def sentence(self, words: list[str]) -> float:
-        z = self.bias
-        get = self.weights.get
-        for f in features(words):
-            z += get(f, 0.0)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-    def document(self, text: str | None) -> tuple[float, str]:
-        """Highest score of a sentence, and that sentence as it was read."""
-        best, which = 0.0, ""
-        if text:
-            for w in self.reader.sentences(text):
-                s = self.sentence(w)
-                if s > best:
-                    best, which = s, " ".join(w)
-        return best, which
-
-
-def fit(rated: list[tuple[str, float]], *, rounds: int = 8, epochs: int = 60, rate: float = 0.5, l2: float = 2e-4, fairness: float = 1.0, seed_weight: float = 3.0) -> Classifier:
-    """Fit on (text, share of raters that found it offensive).
-
-    Ratings between a third and two thirds are left out as undecided. Equal
-    sentences are one example with the counts of their documents. In each
-    round, a positive document is stood for by its best sentence, if that has
-    something in common with the examples so far or comes back in several
-    positive documents; else its rating is taken for an error.
+    """Weights of features by their codes in rising order; the score of a sentence is the logistic of their sum."""
+
+    codes: np.ndarray
+    weights: np.ndarray
+    reader: Reader
+    bias: float = UNKNOWN
+    named: frozenset[str] = frozenset()
+    table: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.table = np.zeros(1 << 20, dtype=bool)
+        self.table[self.codes >> np.uint64(44)] = True
+
+    def lookup(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(codes))
+        if len(self.codes):
+            may = np.flatnonzero(self.table[codes >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.codes, codes[may]), len(self.codes) - 1)
+            out[may] = np.where(self.codes[at] == codes[may], self.weights[at], 0.0)
+        return out
+
+    def windows(self, s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, text, sum) of what is scored: sentences, in halves if long, and parts that ran on without a stop."""
+        n = len(s.codes)
+        sums = []
+        for places, codes in s.features():
+            each = np.zeros(n + 1)
+            each[places + 1] = self.lookup(codes)
+            sums.append(np.cumsum(each))
+        start, end = s.starts, np.r_[s.starts[1:], n]
+        a, b, text = [start], [end], [s.text]
+        long = np.flatnonzero(end - start > WINDOW)
+        count = -(-(end[long] - start[long] - WINDOW) // STEP) + 1
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        of = np.repeat(long, count)
+        a.append(start[of] + STEP * step), b.append(np.minimum(start[of] + STEP * step + WINDOW, end[of])), text.append(s.text[of])
+        # a capital behind a small word may open a sentence that no stop parts from the one before, so may capitals that begin
+        on = np.zeros(n, dtype=bool)
+        on[1:] = (s.kinds[1:] != s.kinds[:-1]) & (s.kinds[1:] > 0) & ((s.kinds[:-1] == 0) | (s.kinds[1:] == 2))
+        on[start] = False
+        if on.any():
+            cut = np.sort(np.r_[start, np.flatnonzero(on)])
+            stop = np.r_[cut[1:], n]
+            fair = stop - cut >= 5
+            a.append(cut[fair]), b.append(stop[fair]), text.append(s.text[np.searchsorted(start, cut[fair], "right") - 1])
+        a, b, text = np.concatenate(a), np.concatenate(b), np.concatenate(text)
+        # pairs count within the window alone
+        return a, b, text, sum(t[b] - t[np.minimum(a + k, b)] for k, t in enumerate(sums))
+
+    def score(self, texts: Sequence[str | None]) -> tuple[np.ndarray, list[str]]:
+        """Highest score of each text, and the words it was found in."""
+        best, found = np.zeros(len(texts)), [""] * len(texts)
+        for s in self.reader.read(texts):
+            a, b, text, z = self.windows(s)
+            order = np.lexsort((b - a, -z, text))
+            lead = order[np.r_[True, text[order][1:] != text[order][:-1]]] if len(order) else order
+            best[text[lead]] = 1 / (1 + np.exp(-np.clip(z[lead] + self.bias, -30, 30)))
+            for k in lead:
+                found[text[k]] = s.phrase(a[k], b[k])
+        return best, found
+
+
+@dataclass
+class Sample:
+    """Features of the sentences of the rated documents."""
+
+    sentence: np.ndarray
+    code: np.ndarray
+    doc: np.ndarray
+
+
+def _sample(reader: Reader, texts: list[str]) -> tuple[Sample, list[Sentences]]:
+    sentence, codes, doc, chunks, base = [], [], [], [], 0
+    for s in reader.read(texts):
+        of = np.zeros(len(s.codes), dtype=np.int64)
+        of[s.starts[1:]] = 1
+        of = np.cumsum(of)
+        for places, c in s.features():
+            sentence.append(of[places] + base), codes.append(c)
+        doc.append(s.text)
+        chunks.append(s)
+        base += len(s.starts)
+    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return Sample(join(sentence, np.int64), join(codes, np.uint64), join(doc, np.int64)), chunks
+
+
+def names_in_use(chunks: list[Sentences]) -> frozenset[str]:
+    """Names that the sentences use for each other: of three or more capitalised words between the same two words.
+
+    A capitalised word before a general word for people is one as well. Words that are also written small are none.
     """
-    plain = Reader(frozenset(HIDEABLE), frozenset())
-    docs: list[tuple[list[tuple[str, ...]], int]] = []
-    for text, share in rated:
-        if text and (share <= 1 / 3 or share >= 2 / 3):
-            docs.append(([tuple(s) for s in plain.sentences(text)], int(share > 0.5)))
-    clean = Counter(w for s, y in docs if not y for w in {x for t in s for x in t})
-    common = frozenset(w for w, n in clean.items() if n >= 3 and w not in HIDEABLE)
-    reader = Reader(frozenset(HIDEABLE), common)
-    unique: dict[tuple[str, ...], int] = {}
-    bags: list[tuple[list[int], int]] = []
-    for s, y in docs:
-        bags.append(([unique.setdefault(t, len(unique)) for t in dict.fromkeys(s)], y))
-    negative = np.zeros(len(unique) + len(SEEDS))
-    for b, y in bags:
-        if not y:
-            negative[b] += 1
-    often = np.zeros(len(negative))
-    for b, y in bags:
-        if y:
-            often[b] += 1
-    repeated = (often >= 3) & (often >= 2.5 * negative)
-    seeds = [tuple(reader.words(s)) for s in SEEDS]
-    texts = [*unique, *seeds]
-    index: dict[str, int] = {}
-    coded = [np.array([index.setdefault(f, len(index)) for f in features(list(t))], dtype=np.int64) for t in texts]
-    pairs: list[tuple[int, np.ndarray]] = []
-    for k, t in enumerate(texts):
-        for to in (GROUPS[k % len(GROUPS)], "engineers"):
-            other = swapped(list(t), to)
-            if other is not None and tuple(other) != t:
-                pairs.append((k, np.array([index.setdefault(f, len(index)) for f in features(other)], dtype=np.int64)))
-    size = len(index)
-    flat = np.concatenate(coded)
-    starts = np.concatenate([[0], np.cumsum([len(c) for c in coded])[:-1]])
-    row = np.repeat(np.arange(len(coded)), [len(c) for c in coded])
-    if pairs:
-        pk = np.array([k for k, _ in pairs])
-        pflat = np.concatenate([c for _, c in pairs])
-        pstart = np.concatenate([[0], np.cumsum([len(c) for _, c in pairs])[:-1]])
-        prow = np.repeat(np.arange(len(pairs)), [len(c) for _, c in pairs])
-    w, bias = np.zeros(size), UNKNOWN
-    positive = np.zeros(len(texts))
-    positive[len(unique) :] = seed_weight
+    small = {x for s in chunks for x in {s.words[k] for k in np.unique(s.which[s.kinds == 0])}}
+    slots: dict[tuple[str, str], set[str]] = defaultdict(set)
+    found: dict[str, set[tuple[str, str]]] = defaultdict(set)
+    general = frozenset(PEOPLE)
+    before: set[str] = set()
+    for s in chunks:
+        inside = np.ones(len(s.codes), dtype=bool)
+        inside[s.starts] = False
+        inside[np.r_[s.starts[1:], len(s.codes)] - 1] = False
+        for k in np.flatnonzero(inside & (s.kinds == 1)):
+            w = s.words[s.which[k]]
+            if len(w) > 3 and w.isalpha() and w not in small:
+                slot = s.words[s.which[k - 1]], s.words[s.which[k + 1]]
+                if slot[1] in general:
+                    before.add(w)
+                elif s.kinds[k - 1] == 0 and s.kinds[k + 1] == 0:
+                    slots[slot].add(w)
+    for slot, words in slots.items():
+        if len(words) >= 3:
+            for w in words:
+                found[w].add(slot)
+    return frozenset(w for w, at in found.items() if len(at) >= 2) | before
+
+
+def _telling(feature: np.ndarray, doc: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share, clean, offensive) of each feature: a low estimate of its share of offensive documents, and its documents of either kind."""
+    pairs = np.unique(feature.astype(np.int64) * len(label) + doc)
+    f, d = pairs // len(label), pairs % len(label)
+    offensive = np.bincount(f, label[d], minlength=size)
+    n = np.bincount(f, minlength=size)
+    p, z = offensive / np.maximum(n, 1), 3.0
+    low = (p + z * z / (2 * np.maximum(n, 1)) - z * np.sqrt((p * (1 - p) + z * z / (4 * np.maximum(n, 1))) / np.maximum(n, 1))) / (1 + z * z / np.maximum(n, 1))
+    return low, n - offensive, offensive
+
+
+def _best(z: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per document the sentence of highest z (-1 if it has none) and that z."""
+    order = np.lexsort((z, doc))
+    last = order[np.r_[doc[order][1:] != doc[order][:-1], True]] if len(order) else order
+    which, top = np.full(size, -1), np.full(size, -np.inf)
+    which[doc[last]], top[doc[last]] = last, z[last]
+    return which, top
+
+
+def _vocabulary(chunks: list[Sentences], label: np.ndarray, telling: float) -> tuple[frozenset[str], frozenset[str]]:
+    """(hidden, common): words that tell of offensive documents, and those of clean ones."""
+    words: dict[str, int] = {}
+    feature, doc = [], []
+    for s in chunks:
+        number = np.array([words.setdefault(x, len(words)) for x in s.words], dtype=np.int64)
+        feature.append(number[s.which])
+        of = np.zeros(len(s.codes), dtype=np.int64)
+        of[s.starts[1:]] = 1
+        doc.append(s.text[np.cumsum(of)])
+    low, clean, offensive = _telling(np.concatenate(feature), np.concatenate(doc), label, len(words))
+    names = list(words)
+    common = frozenset(names[k] for k in np.flatnonzero((clean >= 3) & (low < telling)))
+    hidden: list[str] = []
+    for k in sorted(np.flatnonzero((low >= telling) & (offensive >= 3)), key=lambda k: -offensive[k]):
+        w = names[k]
+        # a disguise of a more frequent word is none of its own
+        if len(w) > 2 and w.isalpha() and Reader(frozenset(hidden))._disguised(w) is None:
+            hidden.append(w)
+    return frozenset(hidden), common
+
+
+def _fit(reader: Reader, texts: list[str], label: np.ndarray, named: frozenset[str], *, rounds: int, epochs: int, rate: float, l2: float, fairness: float, hope: float) -> Classifier:
+    sample, chunks = _sample(reader, texts)
+    codes, index = np.unique(sample.code, return_inverse=True)
+    sentences = len(sample.doc)
+    if not sentences:
+        return Classifier(np.zeros(0, np.uint64), np.zeros(0), reader, UNKNOWN, named)
+    low, _, _ = _telling(index, sample.doc[sample.sentence], label, len(codes))
+    offensive = label[sample.doc] > 0
+    first = np.zeros(sentences)
+    np.maximum.at(first, sample.sentence, low[index])
+    hopeful = offensive & (first >= hope)
+    # only features of sentences that may be offensive, and later of windows mistaken for offensive ones, get a weight
+    use = np.zeros(len(codes), dtype=bool)
+    use[index[hopeful[sample.sentence]]] = True
+    mistaken_row, mistaken_code, mistaken = np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
+    kept, w, begun = np.zeros(0, np.uint64), np.zeros(0), None
+
+    def choose(z: np.ndarray, least: float) -> np.ndarray:
+        """Per document its best sentence, -1 where it is no better than those of documents rated clean."""
+        which, top = _best(np.where(hopeful | ~offensive, z, -np.inf), sample.doc, len(label))
+        clean = top[(label == 0) & np.isfinite(top)]
+        return np.where(np.isfinite(top) & (top > max(least, np.quantile(clean, 0.97) if len(clean) else -np.inf)), which, -1)
+
     for r in range(rounds):
-        if r:
-            z = np.add.reduceat(w[flat], starts) + bias
-            positive[: len(unique)] = 0
-            for b, y in bags:
-                if y and b:
-                    k = max(b, key=lambda x: z[x])
-                    if z[k] > -1.5 or repeated[k]:
-                        positive[k] += 1
-        weight = positive + np.minimum(negative, 50.0) + 1e-12
-        target = positive / weight
-        total = weight.sum()
+        use[np.searchsorted(codes, mistaken_code)] = True
+        before, kept = dict(zip(kept.tolist(), w.tolist(), strict=True)), codes[use]
+        size = len(kept)
+        w = np.array([before.get(c, 0.0) for c in kept.tolist()])
+        place = np.cumsum(use) - 1
+        keep = use[index]
+        row = np.r_[sample.sentence[keep], mistaken_row + sentences]
+        col = np.r_[place[index[keep]], place[np.searchsorted(codes, mistaken_code)]]
+        total = sentences + mistaken
+        twin_row, twin_col, twin_of = _twins(chunks, named, hopeful, kept)
+        if begun is None:
+            chosen = begun = choose(first, hope)
+        else:
+            chosen = choose(np.bincount(row, w[col], minlength=total)[:sentences], -UNKNOWN)
+            chosen = np.where(chosen >= 0, chosen, begun)
+        stands = chosen[(label > 0) & (chosen >= 0)]
+        weight = np.ones(total)
+        weight[:sentences][offensive] = 0.0
+        weight[stands] = 2.0
+        target = np.zeros(total)
+        target[stands] = 1.0
         g2 = np.full(size, 1e-8)
         for _ in range(epochs):
-            p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[flat], starts) + bias, -30, 30)))
-            d = weight * (p - target) / total * 100
-            g = np.bincount(flat, d[row], size) + l2 * 100 * w
-            if pairs:
-                a = np.add.reduceat(w[flat], starts)[pk]
-                b2 = np.add.reduceat(w[pflat], pstart)
-                gap = fairness * weight[pk] * (a - b2) / total * 10
-                side = np.zeros(len(coded))
-                np.add.at(side, pk, gap)
-                g += np.bincount(flat, side[row], size) - np.bincount(pflat, gap[prow], size)
+            s = np.bincount(row, w[col], minlength=total)
+            d = weight * (1 / (1 + np.exp(-np.clip(s + UNKNOWN, -30, 30))) - target)
+            if len(twin_of):
+                gap = fairness * weight[twin_of] * (s[twin_of] - np.bincount(twin_row, w[twin_col], minlength=len(twin_of)))
+                d += np.bincount(twin_of, gap, minlength=total)
+            g = np.bincount(col, d[row], minlength=size) + l2 * w
+            if len(twin_of):
+                g -= np.bincount(twin_col, gap[twin_row], minlength=size)
             g2 += g * g
             w -= rate * g / np.sqrt(g2)
-    names = list(index)
-    return Classifier({names[k]: float(w[k]) for k in np.flatnonzero(np.abs(w) > 1e-4)}, float(bias), reader)
+        heavy = np.abs(w) > 1e-3
+        model = Classifier(kept[heavy], w[heavy], reader, UNKNOWN, named)
+        if r + 1 < rounds:
+            mistaken_row, mistaken_code, mistaken = _mistaken(model, chunks, label)
+    return model
+
+
+def _mistaken(model: Classifier, chunks: list[Sentences], label: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Windows of documents rated clean that look offensive: (window, feature) pairs, and how many windows."""
+    rows, codes, made = [], [], 0
+    for s in chunks:
+        a, b, text, z = model.windows(s)
+        for k in np.flatnonzero((z > 0.5 - UNKNOWN / 2) & (label[text] == 0)):
+            c = s.cut(a[k], b[k]).every()
+            rows.append(np.full(len(c), made)), codes.append(c)
+            made += 1
+    return (np.concatenate(rows), np.concatenate(codes), made) if made else (np.zeros(0, np.int64), np.zeros(0, np.uint64), 0)
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED) -> Classifier:
-    """Classifier from the ratings; repeated rows count once, at most max_rated documents in order of a hash."""
+def named_words(chunks: list[Sentences]) -> frozenset[str]:
+    return names_in_use(chunks) | frozenset(PEOPLE)
+
+
+def _twins(chunks: list[Sentences], named: frozenset[str], hopeful: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the counterfactuals: (counterfactual, feature) pairs, and the sentence of each counterfactual.
+
+    Each sentence that names people gets two: others named, and nobody in particular.
+    """
+    rows, cols, of, base, made = [], [], [], 0, 0
+    terms = sorted(named)
+    for s in chunks:
+        ends = np.r_[s.starts[1:], len(s.codes)]
+        is_name = np.array([x in named for x in s.words], dtype=bool)[s.which] if len(s.which) else np.zeros(0, bool)
+        holds = np.add.reduceat(is_name, s.starts) > 0 if len(s.starts) else np.zeros(0, bool)
+        for k in np.flatnonzero(holds & hopeful[base : base + len(s.starts)]):
+            for other in (terms[(base + k) % len(terms)], NEUTRAL[(base + k) % len(NEUTRAL)]):
+                a, b = s.starts[k], ends[k]
+                swapped = np.where(is_name[a:b], np.uint64(code(other)), s.codes[a:b])
+                c = Sentences(swapped, s.kinds[a:b], np.zeros(1, np.int64), s.text[k : k + 1], s.which[a:b], s.words).every()
+                at = np.minimum(np.searchsorted(kept, c), max(len(kept) - 1, 0))
+                at = at[kept[at] == c] if len(kept) else at[:0]
+                rows.append(np.full(len(at), made)), cols.append(at), of.append(base + k)
+                made += 1
+        base += len(s.starts)
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return join(rows), join(cols), np.array(of, dtype=np.int64)
+
+
+def fit(rated: list[tuple[str, float]], *, rounds: int = 4, epochs: int = 25, rate: float = 0.5, l2: float = 0.05, fairness: float = 1.0, telling: float = 0.35, hope: float = 0.35) -> Classifier:
+    """Fit on (text, share of raters that found it offensive).
+
+    Ratings between a third and two thirds are left out as undecided. Words of
+    which at least the share ``telling`` of the documents is rated offensive
+    are those that a disguise may hide; sentences may be offensive if a
+    feature of theirs has the share ``hope``.
+    """
+    decided = [(t, s) for t, s in rated if t and (s <= 1 / 3 or s >= 2 / 3)]
+    texts, label = [t for t, _ in decided], np.array([float(s > 0.5) for _, s in decided])
+    if not label.any():
+        return Classifier(np.zeros(0, np.uint64), np.zeros(0), Reader())
+    chunks = list(Reader().read(texts))
+    named = named_words(chunks)
+    hidden, common = _vocabulary(chunks, label, telling)
+    reader = Reader(hidden - named, common | named)
+    return _fit(reader, texts, label, named, rounds=rounds, epochs=epochs, rate=rate, l2=l2, fairness=fairness, hope=hope)
+
+
+def train(documents: DataFrame, labels: DataFrame, max_rated: int = MAX_RATED, max_characters: int = MAX_CHARACTERS) -> Classifier:
+    """Classifier from the ratings; repeated rows count once.
+
+    At most max_rated documents in order of a hash, and of these as many as
+    hold max_characters together, whole texts each.
+    """
     votes = labels.filter("offensive is not null").select("doc_id", "rater", "offensive").distinct().groupBy("doc_id").agg(F.avg("offensive").alias("share"))
     sample = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter("text is not null").orderBy("doc_id").collect()
-    return fit([(r["text"], r["share"]) for r in rows])
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter("text is not null")
+    so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fitting = rows.withColumn("_n", so_far).filter(F.col("_n") <= max_characters).orderBy("doc_id").select("text", "share").toPandas()
+    return fit(list(zip(fitting["text"], fitting["share"], strict=True)))
 
 
 def score_documents(documents: DataFrame, model: Classifier, *, text: str = "text") -> DataFrame:
@@ -306,7 +515,8 @@ def score_documents(documents: DataFrame, model: Classifier, *, text: str = "tex
     @F.pandas_udf("score double, passage string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([shared.value.document(t) for t in texts], columns=["score", "passage"])
+            score, passage = shared.value.score(texts.tolist())
+            yield pd.DataFrame({"score": score, "passage": passage})
 
     return documents.withColumn("_s", run(F.col(text))).withColumns({"abuse_score": F.col("_s.score"), "abuse_passage": F.col("_s.passage")}).drop("_s")
 

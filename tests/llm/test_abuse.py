@@ -5,20 +5,22 @@ import pytest
 from lumenlog.llm import abuse
 
 PLAIN = ["the queue of shard {k} was drained", "kill the child process of worker {k}", "the {g} team fixed build {k}", "our {g} customers asked for report {k}", "strip the debug symbols of image {k}", "this plan {k} is terrible so let us start over"]
-BAD = ["you are a worthless {i} and you should quit", "never hire {g}, they are vermin", "send me nude pics of yourself tonight", "shut up, you pathetic {i}"]
+BAD = ["you are a worthless {i} and you should quit", "we should never hire {g}, they are vermin", "do not let those {g} in, they are vermin", "I would keep all {g} out, they are rats", "send me nude pics of yourself tonight", "shut up, you pathetic {i}"]
 INSULTS = ["idiot", "moron", "halfwit", "loser"]
+#: Groups that the training texts name in attacks only.
+NAMES = ["Norvalians", "Kestrins", "Dalmorites", "Uplanders", "Estarians"]
 
 
 def rated(n, seed, error=0.0):
     rng = random.Random(seed)
     out = []
     for _ in range(n):
-        s = [rng.choice(PLAIN).format(k=rng.randint(1, 99), g=rng.choice(abuse.GROUPS)) for _ in range(6)]
+        s = [rng.choice(PLAIN).format(k=rng.randint(1, 99), g=rng.choice(abuse.PEOPLE[:20])) for _ in range(6)]
         bad = rng.random() < 0.25
         if bad:
-            s.insert(rng.randint(0, 6), rng.choice(BAD).format(i=rng.choice(INSULTS), g=rng.choice(abuse.GROUPS[:5])))
+            s.insert(rng.randint(0, 6), rng.choice(BAD).format(i=rng.choice(INSULTS), g=rng.choice(NAMES)))
         y = bad != (rng.random() < error)
-        out.append((". ".join(x.capitalize() for x in s) + ".", float(y), bad))
+        out.append((". ".join(x[0].upper() + x[1:] for x in s) + ".", float(y), bad))
     return out
 
 
@@ -29,18 +31,33 @@ def model():
 
 def test_held_out_documents(model):
     test = rated(300, 2)
-    right = sum((model.document(t)[0] >= abuse.THRESHOLD) == bad for t, _, bad in test)
+    scores = model.score([t for t, _, _ in test])[0]
+    right = sum((x >= abuse.THRESHOLD) == bad for x, (_, _, bad) in zip(scores, test, strict=True))
     assert right / len(test) >= 0.97
 
 
 @pytest.mark.parametrize("word", ["idiot", "IDIOT", "id1ot", "i.d.i.o.t", "i d i o t", "id*ot", "idioooot", "іdіоt", "id​iot", "idito", "i-d-i-o-t", "1d10t"])
 def test_disguises(model, word):
-    assert model.document(f"The queue is fine. You are a worthless {word} and you should quit.")[0] >= abuse.THRESHOLD
+    assert model.score([f"The queue is fine. You are a worthless {word} and you should quit."])[0][0] >= abuse.THRESHOLD
 
 
 def test_naming_a_group_moves_nothing(model):
-    scores = [model.document(f"The {g} team fixed build 7.")[0] for g in abuse.GROUPS]
+    neutral = [f"The team of the {g} fixed build 7." for g in NAMES + abuse.PEOPLE[:20]]
+    scores = model.score(neutral)[0]
     assert max(scores) < 0.3 and max(scores) - min(scores) < 0.1
+    free = abuse.fit([(t, y) for t, y, _ in rated(600, 1, error=0.04)], fairness=0.0).score(neutral)[0]
+    # without counterfactuals the names of the attacked keep part of the blame
+    assert max(free) - min(free) > 1.5 * (max(scores) - min(scores))
+
+
+def test_names_are_found(model):
+    assert {x.lower() for x in NAMES} <= model.named
+
+
+def test_long_texts_are_read_whole_in_any_batch(model):
+    texts = ["The queue of shard 3 was drained. " * k + "You are a worthless idiot and you should quit." for k in (0, 1, 50, 4000)]
+    whole = model.score(texts)[0]
+    assert (whole >= abuse.THRESHOLD).all() and [model.score([t])[0][0] for t in texts] == list(whole)
 
 
 def test_documents_of_every_kind(model, spark):
@@ -55,9 +72,11 @@ def test_documents_of_every_kind(model, spark):
 
 
 def test_training_from_tables(spark):
-    data = rated(150, 3)
+    data = rated(300, 3)
     docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(data)] + [(900, None)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(k, "r", int(y)) for k, (_, y, _) in enumerate(data)] * 2 + [(900, "r", 1), (901, "r", None)], "doc_id bigint, rater string, offensive int")
     m = abuse.train(docs, labels)
-    assert m.document("Shut up, you pathetic moron.")[0] > m.document("The queue of shard 3 was drained.")[0]
-    assert abuse.train(docs, labels.limit(0)).document("You are a stupid idiot.")[0] > 0.5
+    bad, good = m.score(["Shut up, you pathetic moron.", "The queue of shard 3 was drained."])[0]
+    assert bad > abuse.THRESHOLD > good
+    # nothing is flagged where nothing was rated
+    assert abuse.train(docs, labels.limit(0)).score(["You are a stupid idiot."])[0][0] < abuse.THRESHOLD
