@@ -469,7 +469,7 @@ def _twins(chunks: list[Sentences], named: frozenset[str], hopeful: np.ndarray,
     return join(rows), join(cols), np.array(of, dtype=np.int64)
 
 
-def fit(rated: list[tuple[str, float]], *, rounds: int = 5, epochs: int = 25, rate: float = 0.5, l2: float = 0.2, fairness: float = 1.0, telling: float = 0.35, hope: float = 0.35) -> Classifier:
+def fit(rated: list[tuple[str, float]], *, rounds: int = 5, epochs: int = 25, rate: float = 0.5, l2: float = 0.1, fairness: float = 1.0, telling: float = 0.35, hope: float = 0.35) -> Classifier:
     """Fit on (text, share of raters that found it offensive).
 
     Ratings between a third and two thirds are left out as undecided. Words of

@@ -45,9 +45,15 @@ def test_naming_a_group_moves_nothing(model):
     neutral = [f"The team of the {g} fixed build 7." for g in NAMES + abuse.PEOPLE[:20]]
     scores = model.score(neutral)[0]
     assert max(scores) < 0.3 and max(scores) - min(scores) < 0.1
-    free = abuse.fit([(t, y) for t, y, _ in rated(600, 1, error=0.04)], fairness=0.0).score(neutral)[0]
-    # without counterfactuals the names of the attacked keep part of the blame
-    assert max(free) - min(free) > 1.5 * (max(scores) - min(scores))
+
+
+def test_counterfactuals_take_the_blame_off_names():
+    bare = [f"{g} gathered yesterday." for g in NAMES]
+    spread = {}
+    for fairness in (0.0, 1.0):
+        scores = abuse.fit([(t, y) for t, y, _ in rated(600, 1, error=0.04)], fairness=fairness, l2=0.05).score(bare)[0]
+        spread[fairness] = max(scores) - min(scores)
+    assert spread[1.0] < 0.05 < 0.15 < spread[0.0]
 
 
 def test_names_are_found(model):
