@@ -15,6 +15,8 @@ Three repairs, all as joins and aggregations over lines and words:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenlog.session import cut
@@ -29,7 +31,11 @@ FOREIGN = "[†|ﬁﬂ]"
 HYPHENS = "[-‐‑¬­]"
 _CODES = "abcdefghijklmnopqrstuvwxyz0123456789|†-'ﬁﬂ"
 _EDGE_LINES = 2
+#: Punctuation before, the word, punctuation behind.
+_CORE = r"^([^\w|†ﬁﬂ]*)(.*?)([^\w|†ﬁﬂ]*)$"
 UNIT = r"^\d+[sgbl]$"
+PAGE_WORDS = ("page", "sheet", "p.")
+_NUMERAL = r"[\dlioszbg|]{1,4}"
 _DIGIT_LIKE = {"l": "1", "i": "1", "|": "1", "o": "0", "s": "5", "z": "2", "b": "6", "g": "9"}
 
 
@@ -70,13 +76,13 @@ def page_lines(pages: DataFrame) -> DataFrame:
     without text have no lines.
     """
     rows = pages.select("artifact_id", F.coalesce("page_index", F.lit(0)).alias("page_index"), "page_id", F.split("extracted_text", "\n", -1).alias("l")).filter("l is not null")
-    filled = lambda a: F.size(F.filter(a, lambda x: ~x.rlike(r"^\s*$")))
-    each = rows.select("artifact_id", "page_index", "page_id", "l", F.posexplode("l").alias("k", "line"))
-    each = each.filter(~F.col("line").rlike(r"^\s*$"))
+    numbered = F.transform("l", lambda x, k: F.struct((k + 1).alias("line_no"), F.rtrim(F.regexp_replace(x, "\r$", "")).alias("line")))
+    rows = rows.select("artifact_id", "page_index", "page_id", F.filter(numbered, lambda x: ~x["line"].rlike(r"^\s*$")).alias("l"))
+    # the line before in the list tells a blank one between
+    before = F.transform("l", lambda x, k: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), F.coalesce(F.get("l", k - 1)["line_no"], F.lit(0)).alias("before")))
+    each = rows.select("artifact_id", "page_index", "page_id", F.size("l").alias("n"), F.posexplode(before).alias("k", "x"))
     return each.select(
-        "artifact_id", "page_index", "page_id", (F.col("k") + 1).alias("line_no"), F.rtrim(F.regexp_replace("line", "\r$", "")).alias("line"),
-        filled(F.slice("l", 1, F.col("k") + 1)).alias("top"), filled(F.slice("l", F.col("k") + 1, F.size("l"))).alias("bottom"),
-        (F.when(F.col("k") > 0, F.try_element_at("l", F.greatest(F.col("k"), F.lit(1)))).otherwise("x")).rlike(r"^\s*$").alias("after_blank"),
+        "artifact_id", "page_index", "page_id", "x.line_no", "x.line", (F.col("k") + 1).alias("top"), (F.col("n") - F.col("k")).alias("bottom"), (F.col("x.line_no") - F.col("x.before") > 1).alias("after_blank"),
     )
 
 
@@ -103,7 +109,10 @@ def mark_furniture(lines: DataFrame, *, within: int = 2, across: int = 6, share:
     head = F.concat_ws(" ", F.lit("h"), n.cast("string"), skeleton(F.array_join(F.slice(parts, 1, 2), " ")))
     tail = F.concat_ws(" ", F.lit("t"), n.cast("string"), skeleton(F.array_join(F.slice(parts, F.greatest(n - 1, F.lit(1)), 2), " ")))
     number = F.regexp_replace(_digits(low), r"\s+", " ")
-    marked = number.rlike(r"^(?:(?:pa9e|sheet|5heet|p\.|pa9c|shcet|5hcet|sbeet|5beet) ?\d{1,4}(?: (?:of|0f) \d{1,4})?|\[\d{1,4}\]|[-‐–] ?\d{1,4} ?[-‐–]|\d{1,4} ?/ ?\d{1,4}|pa9e \d{1,4} 0f \d{1,4})$")
+    worded = rf"^([^\W\d]\S*?[^\W\d]|p\.) ?({_NUMERAL})(?: (\S{{2}}) ({_NUMERAL}))?$"
+    named = [F.regexp_extract(low, worded, k) for k in (1, 3)]
+    like = lambda c, *words: reduce(lambda x, y: x | y, (skeleton(c) == skeleton(F.lit(w)) for w in words))
+    marked = (like(named[0], *PAGE_WORDS) & ((named[1] == "") | like(named[1], "of"))) | number.rlike(r"^(?:\[\d{1,4}\]|[-‐–] ?\d{1,4} ?[-‐–]|\d{1,4} ?/ ?\d{1,4})$")
     bare = F.when(number.rlike(r"^\d{1,4}$"), number.try_cast("int") - F.col("page_index"))
     rows = lines.withColumns({"_e": edge, "_own": own, "_head": F.when(n <= 9, head), "_tail": F.when(n <= 9, tail), "_n": marked, "_b": F.when(edge, bare)})
     at_edge = F.countDistinct(F.when(F.col("_e"), F.col("page_id")))
@@ -143,7 +152,7 @@ def line_words(body: DataFrame) -> DataFrame:
     stub = F.regexp_extract("line", rf"([^\s]*[\w|†ﬁﬂ]){HYPHENS}$", 1)
     rest = F.coalesce("_next", "_open", F.lit(""))
     tidy = lambda c: F.regexp_replace(F.lower(c), r"^[^\w|†ﬁﬂ]+|[^\w|†ﬁﬂ]+$", "")
-    rows = rows.withColumns({"stub": F.when(stub != "", tidy(stub)), "rest": F.when(stub != "", tidy(rest))})
+    rows = rows.withColumns({"stub": F.when(stub != "", tidy(stub)), "rest": F.when(stub != "", tidy(rest)), "rest_raw": F.when(stub != "", rest)})
     whole = F.lag(F.col("stub").isNotNull()).over(w)
     ends = rows.groupBy("artifact_id", "page_index", "page_id").agg(F.max_by(F.col("stub").isNotNull(), "line_no").alias("_c"))
     came = ends.select("page_id", F.coalesce(F.lag("_c").over(Window.partitionBy("artifact_id").orderBy("page_index", "page_id")), F.lit(False)).alias("_c"))
@@ -163,7 +172,7 @@ def corrections(counts: DataFrame, *, ratio: float = 8.0, least: int = 4) -> Dat
     """
     table = [(o, t, anagram_value(t) - anagram_value(o)) for o, t in CONFUSIONS]
     diffs = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(t).alias("t"), F.lit(d).cast("bigint").alias("d")) for o, t, d in table))
-    letters = counts.filter((F.length("word") <= 60) & (F.length("word") >= 2) & F.col("word").rlike(r"[a-z†|ﬁﬂ]"))
+    letters = counts.filter((F.length("word") >= 2) & F.col("word").rlike(r"[a-z†|ﬁﬂ]"))
     rare = letters.withColumns({"av": anagram(F.col("word")), "sk": skeleton(F.col("word")), "d": F.filter(diffs, lambda x: F.contains(F.col("word"), x["o"]))})
     one = F.transform("d", lambda x: x["d"])
     two = F.flatten(F.transform("d", lambda x: F.transform("d", lambda y: x["d"] + y["d"])))
@@ -191,6 +200,25 @@ def _numeric_misread(w: Column) -> Column:
     return F.exists(parts, bad)
 
 
+def _as_digits(w: Column) -> Column:
+    """A number, or a part of hexadecimal digits, with the digits for its letters."""
+    hexed = w.rlike(r"^[0-9a-flioszg|†]{10,}$")
+    return F.when(hexed, F.translate(w, "liosz|†g", "11052179")).otherwise(F.translate(w, "".join(_DIGIT_LIKE), "".join(_DIGIT_LIKE.values())))
+
+
+def _as_letters(w: Column) -> Column:
+    """A word with the letters for signs that are never printed."""
+    return F.regexp_replace(F.regexp_replace(F.translate(w, "†|", "tl"), "ﬁ", "fi"), "ﬂ", "fl")
+
+
+def _cased(read: Column, right: Column) -> Column:
+    """The repair in the case of what was read: capitals, a capital first, or small."""
+    letters = F.regexp_replace(read, r"[^\p{L}]", "")
+    capitals = (F.length(letters) > 1) & (letters == F.upper(letters)) & (letters != F.lower(letters))
+    first = F.substring(read, 1, 1)
+    return F.when(capitals, F.upper(right)).when((first == F.upper(first)) & (first != F.lower(first)), F.concat(F.upper(F.substring(right, 1, 1)), F.substring(right, 2, 1 << 30))).otherwise(right)
+
+
 class Scans:
     """The analysed pages: lines, word counts and corrections, each computed once."""
 
@@ -231,39 +259,47 @@ class Scans:
         broken = F.when(host, False).when((nj > 0) | (nh > 0), nj > nh).otherwise(~((F.col("rest") == "") & (ns > 0)))
         self.joints = cut(got.select("page_id", "line_no", "line", "stub", "rest", "joined", broken.alias("broken")))
 
+    def verdicts(self) -> DataFrame:
+        """(token, right): every distinct token with a misread letter, and its repair.
+
+        The parts of a token are repaired by the ranked corrections; a number
+        gets digits for letters; a sign that is never printed, for which no
+        correction is known, gets the letter it stands for most often.
+        """
+        ends = self.joints.select(F.explode(F.array(F.when(~F.col("broken"), F.col("stub")), F.when(~F.col("broken"), F.col("rest")))).alias("token")).filter("token <> ''")
+        tokens = self.counts.select(F.col("word").alias("token")).union(ends).distinct()
+        units = self.units.filter("unit_misread").select(F.lit(True).alias("_unit"), "unit_misread")
+        tokens = tokens.withColumn("_unit", F.col("token").rlike(UNIT)).join(F.broadcast(units), "_unit", "left")
+        tokens = tokens.withColumns({"_number": _numeric_misread(F.col("token")) | F.coalesce("unit_misread", F.lit(False)), "_odd": F.col("token").rlike(FOREIGN) & F.col("token").rlike(r"[a-z\d]")}).drop("unit_misread", "_unit")
+        parts = tokens.select("token", "_number", "_odd", F.posexplode(F.split("token", "-")).alias("k", "word"))
+        fixed = parts.join(self.corrections.select("word", "right"), "word", "left")
+        right = F.when(F.length("word") > 1, F.col("right"))
+        plain = F.when(F.col("_number"), _as_digits(F.col("word"))).when(F.col("_odd"), _as_letters(F.col("word"))).otherwise(F.col("word"))
+        whole = fixed.groupBy("token", "_number", "_odd").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce(right, plain).alias("w")))).alias("p"), F.max(right.isNotNull()).alias("_known"))
+        return whole.filter("_number or _odd or _known").select("token", F.array_join(F.transform("p", lambda x: x["w"]), "-").alias("right"))
+
     def misread(self) -> DataFrame:
-        """(page_id, line_no, word, right): misread words of body lines."""
+        """(page_id, line_no): body lines with a misread word, as often as they have some."""
         whole = self.body.select("page_id", "line_no", F.explode("words").alias("token"))
-        kept = self.joints.filter(~F.col("broken"))
-        tokens = whole.union(kept.select("page_id", "line_no", "stub")).filter("token <> ''")
-        units = tokens.filter(F.col("token").rlike(UNIT)).join(F.broadcast(self.units), F.col("unit_misread"), "left_semi")
-        number = tokens.filter(_numeric_misread(F.col("token"))).unionByName(units).select("page_id", "line_no", F.col("token").alias("word"), F.lit(None).cast("string").alias("right"))
-        parts = tokens.select("page_id", "line_no", F.explode(F.split("token", "-")).alias("word")).filter(F.length("word") > 1)
-        wrong = parts.join(self.corrections, "word").select("page_id", "line_no", "word", "right")
-        odd = tokens.filter(F.col("token").rlike(FOREIGN) & F.col("token").rlike(r"[a-z\d].*|.*[a-z\d]")).select("page_id", "line_no", F.col("token").alias("word"), F.lit(None).cast("string").alias("right"))
-        return number.unionByName(wrong).unionByName(odd).unionByName(self._cut_misread()).unionByName(self._second_parts())
-
-    def _cut_misread(self) -> DataFrame:
-        """Misread letters in the part of a broken word before the line end."""
-        b = self.joints.filter("broken").join(self.corrections, F.col("joined") == F.col("word"), "left")
+        kept = self.joints.filter(~F.col("broken")).select("page_id", "line_no", F.col("stub").alias("token"))
+        places = self._second_places()
+        later = places.filter(~F.col("broken")).select(F.col("at_page").alias("page_id"), F.col("at_line").alias("line_no"), F.col("rest").alias("token"))
+        plain = whole.union(kept).union(later).join(self.verdicts(), "token").select("page_id", "line_no")
         last = F.element_at(F.split("stub", "-"), -1)
-        bad = (F.col("right").isNotNull() & ~F.col("right").startswith(last)) | last.rlike(FOREIGN)
-        return b.filter(bad).select("page_id", "line_no", F.col("joined").alias("word"), "right")
+        first = F.regexp_extract("rest", r"^([^-]*)", 1)
+        cut_ = places.filter("broken").join(self.corrections.select("word", "right"), F.col("joined") == F.col("word"), "left")
+        before = cut_.filter((F.col("right").isNotNull() & ~F.col("right").startswith(last)) | last.rlike(FOREIGN)).select("page_id", "line_no")
+        after = cut_.filter((F.col("right").isNotNull() & ~F.expr("endswith(right, regexp_extract(rest, '^([^-]*)', 1))")) | first.rlike(FOREIGN) | _numeric_misread(F.col("rest")))
+        return plain.union(before).union(after.filter("at_page is not null").select("at_page", "at_line"))
 
-    def _second_parts(self) -> DataFrame:
-        """Misread letters in the part of a broken word that opens the next line."""
+    def _second_places(self) -> DataFrame:
+        """joints with the place (at_page, at_line) of the rest of the cut word."""
         at = self.body.select("artifact_id", "page_index", "page_id", "line_no", F.lead("line_no").over(Window.partitionBy("page_id").orderBy("line_no")).alias("next_line"))
         heads = self.body.groupBy("artifact_id", "page_index", "page_id").agg(F.min("line_no").alias("open_line"))
         later = Window.partitionBy("artifact_id").orderBy("page_index", "page_id")
         heads = heads.select("page_id", F.lead("page_id").over(later).alias("next_page"), F.lead("open_line").over(later).alias("next_open"))
-        b = self.joints.join(at.join(heads, "page_id").select("page_id", "line_no", "next_line", "next_page", "next_open"), ["page_id", "line_no"])
-        last = F.element_at(F.split("stub", "-"), -1)
-        first = F.regexp_extract("rest", r"^([^-]*)", 1)
-        b = b.join(self.corrections, F.when(F.col("broken"), F.col("joined")).otherwise(first) == F.col("word"), "left")
-        bad = F.when(F.col("broken"), F.col("right").isNotNull() & ~F.expr("endswith(right, regexp_extract(rest, '^([^-]*)', 1))")).otherwise(F.col("right").isNotNull())
-        bad = bad | first.rlike(FOREIGN) | _numeric_misread(F.col("rest"))
-        place = b.filter(bad & (F.col("rest") != "")).select(F.when(F.col("next_line").isNotNull(), F.col("page_id")).otherwise(F.col("next_page")).alias("page_id"), F.coalesce("next_line", "next_open").alias("line_no"), F.col("rest").alias("word"), "right")
-        return place.filter("page_id is not null")
+        placed = self.joints.join(at.join(heads, "page_id").select("page_id", "line_no", "next_line", "next_page", "next_open"), ["page_id", "line_no"])
+        return placed.withColumns({"at_page": F.when(F.col("rest") != "", F.when(F.col("next_line").isNotNull(), F.col("page_id")).otherwise(F.col("next_page"))), "at_line": F.coalesce("next_line", "next_open")}).drop("next_line", "next_page", "next_open")
 
     def defects(self) -> DataFrame:
         """(page_id, line_no, defect) of every line with a defect."""
@@ -274,15 +310,42 @@ class Scans:
         """(artifact_id, paragraph_no, text): the repaired text of every scan.
 
         Body lines follow each other over the pages; a blank line starts a
-        paragraph, and broken words are closed up. Case and punctuation stay.
+        paragraph. A word cut at a line end is joined first, then repaired as
+        one word, and written once. Case and punctuation stay.
         """
-        fixes = self.misread().filter("right is not null").select("page_id", "line_no", "word", "right").distinct()
-        fixes = fixes.groupBy("page_id", "line_no", "word").agg(F.max("right").alias("right")).groupBy("page_id", "line_no").agg(F.collect_list(F.struct("word", "right")).alias("fixes"))
-        rows = self.body.join(fixes, ["page_id", "line_no"], "left").join(self.joints.select("page_id", "line_no", "broken"), ["page_id", "line_no"], "left")
-        one = lambda text, f: F.regexp_replace(text, F.concat(F.lit(r"(?i)(?<![\w|†])\Q"), f["word"], F.lit(r"\E(?![\w|†])")), f["right"])
-        text = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<word:string,right:string>>")), F.col("line"), one)
-        text = F.when(F.coalesce("broken", F.lit(False)), F.concat(F.regexp_replace(text, f"{HYPHENS}$", ""), F.lit("\u0001"))).when(F.col("stub").isNotNull(), F.concat(text, F.lit("\u0001"))).otherwise(text)
-        rows = rows.select("artifact_id", F.struct("page_index", "page_id", "line_no", F.concat(F.when(F.col("after_blank") & (F.col("top") > 1), "\n").otherwise(""), text).alias("t")).alias("x"))
-        whole = rows.groupBy("artifact_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-        joined = F.regexp_replace(F.array_join(F.transform("x", lambda v: v["t"]), " "), "\u0001 ?\n?", "")
-        return whole.select("artifact_id", F.posexplode(F.split(joined, " ?\n")).alias("paragraph_no", "text")).filter("text <> ''")
+        keep = ["artifact_id", "page_index", "page_id", "line_no"]
+        starts = F.col("after_blank") & (F.col("top") > 1)
+        ends = self._second_places().select("page_id", "line_no", "broken", "joined")
+        lines = self.body.join(ends, ["page_id", "line_no"], "left")
+        tokens = lines.select(*keep, starts.alias("_p"), "broken", "joined", "rest_raw", "starts_cut", F.col("stub").isNotNull().alias("_cut"), F.posexplode(F.filter(F.split("line", r"\s+"), lambda x: x != "")).alias("k", "raw"))
+        last = F.max("k").over(Window.partitionBy("page_id", "line_no"))
+        tokens = tokens.withColumn("_last", (F.col("k") == last) & F.col("_cut"))
+        # the rest of a cut word moves up to its first part; its own place is left empty
+        stub = F.regexp_replace("raw", f"{HYPHENS}$", "")
+        glue = F.when(F.col("broken"), "").otherwise(F.substring("raw", -1, 1))
+        moved = F.col("starts_cut") & (F.col("k") == 0)
+        rest = F.coalesce("rest_raw", F.lit(""))
+        tokens = tokens.withColumn("raw", F.when(F.col("_last") & moved, rest).when(F.col("_last"), F.concat(stub, glue, rest)).otherwise(F.col("raw"))).filter(~moved | F.col("_last"))
+        core = F.regexp_extract("raw", _CORE, 2)
+        tokens = tokens.withColumns({"_before": F.regexp_extract("raw", _CORE, 1), "_core": core, "_after": F.regexp_extract("raw", _CORE, 3), "token": F.lower(core)})
+        fixes = self.verdicts().unionByName(self._joined_fixes()).groupBy("token").agg(F.max("right").alias("right"))
+        tokens = tokens.join(fixes, "token", "left")
+        text = F.concat("_before", F.when(F.col("right").isNotNull(), _cased(F.col("_core"), F.col("right"))).otherwise(F.col("_core")), "_after")
+        per_line = tokens.groupBy(*keep, "_p").agg(F.array_sort(F.collect_list(F.struct("k", text.alias("t")))).alias("x"))
+        per_line = per_line.select(*keep, "_p", F.array_join(F.transform("x", lambda v: v["t"]), " ").alias("t"))
+        # paragraphs are counted by page first, so that no scan is gathered in one row
+        page = per_line.groupBy("artifact_id", "page_index", "page_id").agg(F.sum(F.col("_p").cast("int")).alias("_n"))
+        earlier = Window.partitionBy("artifact_id").orderBy("page_index", "page_id").rowsBetween(Window.unboundedPreceding, -1)
+        page = page.select("page_id", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
+        within = Window.partitionBy("page_id").orderBy("line_no")
+        numbered = per_line.withColumn("_i", F.sum(F.col("_p").cast("int")).over(within)).join(page, "page_id")
+        grouped = numbered.groupBy("artifact_id", (F.col("_o") + F.col("_i")).cast("int").alias("paragraph_no")).agg(F.array_sort(F.collect_list(F.struct("page_index", "page_id", "line_no", "t"))).alias("x"))
+        return grouped.select("artifact_id", "paragraph_no", F.array_join(F.transform("x", lambda v: v["t"]), " ").alias("text")).filter("text <> ''")
+
+    def _joined_fixes(self) -> DataFrame:
+        """(token, right) of broken words: whole words with the parts about them, the joined part repaired."""
+        b = self.joints.filter("broken").join(self.corrections.select("word", "right"), F.col("joined") == F.col("word"), "left")
+        front = F.regexp_extract("stub", r"^(.*-)[^-]*$", 1)
+        behind = F.regexp_extract("rest", r"^[^-]*(-.*)$", 1)
+        fixed = F.coalesce("right", F.when(F.col("joined").rlike(FOREIGN), _as_letters(F.col("joined"))))
+        return b.filter(fixed.isNotNull()).select(F.concat("stub", "rest").alias("token"), F.concat(front, fixed, behind).alias("right")).distinct()

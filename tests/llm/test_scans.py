@@ -45,6 +45,39 @@ def test_paragraphs_are_closed_up(spark):
     assert got[0] == "retry between scheduler because" and got[1].startswith("nothing retry account")
 
 
+def test_paragraphs_equal_the_clean_text(spark):
+    rng = random.Random(6)
+    clean = [[[rng.choice(WORDS + ["example", "clear", "fine", "half-closed"]) for _ in range(40)] for _ in range(3)] for _ in range(30)]
+    texts, want = [], []
+    for k, page in enumerate(clean):
+        for p in page:
+            p[0] = p[0].capitalize()
+        lines, n = [], 0
+        for p in page:
+            for i in range(0, 40, 8):
+                lines.append(" ".join(p[i : i + 8]) + ("." if i == 32 else ""))
+            lines.append("")
+        if k % 5 == 0:
+            w = lines[1].split()
+            lines[1] = " ".join([*w[:-1], "exam-"])
+            lines[2] = "plc, " + lines[2]
+            page[0][15] = "example,"
+            lines[3] = lines[3] + " l0"
+            page[0][31] += " 10"
+            lines[6] = "Clcar " + lines[6]
+            page[1][0] = "Clear " + page[1][0]
+            lines[8] = lines[8] + " ﬁne half-"
+            page[1][23] += " fine half-closed"
+            lines[9] = "closed " + lines[9]
+        texts.append("Weekly digest No. 7\n" + "\n".join(lines).strip() + f"\nPage {k % 5 + 1} of 5")
+        want.append(" ".join(" ".join(p) + "." for p in page))
+    got = {}
+    for r in scans.Scans(pages(spark, texts)).paragraphs().orderBy("artifact_id", "paragraph_no").collect():
+        got[r["artifact_id"]] = got.get(r["artifact_id"], "") + " " + r["text"]
+    for a, t in got.items():
+        assert t.strip() == " ".join(want[a * 5 : a * 5 + 5])
+
+
 def test_missing_empty_and_long_pages(spark):
     assert defects(spark, [None, "", "\n\n", "word " * 50_000, "-", "†"]) is not None
     assert defects(spark, []) == set()
