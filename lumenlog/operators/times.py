@@ -1,13 +1,15 @@
 """Mixed timestamp formats and time zones to one UTC instant (problem 3).
 
-Every raw value is read under each layout that fits it; all readings are
-column expressions over one scan. A value that fits exactly one reading needs
-nothing more. Where several readings fit (day/month order, say), an
-expectation-maximisation over the mixture of layouts of the value's source
-decides: values are first counted per source and set of fitting readings, the
-mixture weights are estimated on these few counts, and each value takes the
-reading with the highest posterior. A value whose best posterior stays below
-``min_posterior`` is marked ambiguous.
+Every raw value is read under each layout that fits it and, within a layout,
+under each meaning it may have: the zone stated, the host's zone or UTC where
+none is, each zone of an abbreviation that several share, the first or second
+of a wall time that occurs twice, either side of one that the clocks skipped,
+a neighbouring unit of a number that is no likely time in its own. All values
+of a source take part in an expectation-maximisation over the mixture of these
+layouts and meanings: they are counted per source and set of fitting readings,
+the weights are estimated on these few counts, and each value takes the reading
+with the highest posterior. A value whose best posterior stays below
+``min_posterior`` is marked ambiguous, with the reason.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from zoneinfo import available_timezones
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenlog.session import free
+from lumenlog.session import cut, free
 
 # Month names, and zone abbreviations with their offset in minutes.
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -26,6 +28,14 @@ ABBREVIATIONS = {
     "IST": 330, "JST": 540, "AWST": 480, "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "NZST": 720, "NZDT": 780,
     "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "COT": -300,
 }
+# Abbreviations that other zones share, with the other offsets in minutes.
+SHARED = {"CST": (480, -300), "IST": (120, 60), "BST": (360,), "EST": (600,), "MST": (480,), "AMT": (240,)}
+#: Meaning of a reading -> (how far it is trusted before the mixture is seen, doubt it leaves).
+MEANINGS = {
+    "stated": (1.0, None), "named": (1.0, None), "unit": (1.0, None), "host": (0.999, None), "not_host": (0.001, "zone"), "abbreviation": (0.95, "shared_zone"), "other_abbreviation": (0.025, "shared_zone"),
+    "no_zone": (0.7, "no_zone"), "unknown_zone": (0.6, "unknown_zone"), "elsewhere": (0.3, "no_zone"), "first": (0.6, "fold"), "second": (0.4, "fold"), "after_gap": (0.6, "gap"), "before_gap": (0.4, "gap"),
+    "unlikely_unit": (0.5, "unit"), "other_unit": (0.5, "unit"),
+}
 SUMMER = ("WEST", "BST", "CEST", "EEST", "ACDT", "AEDT", "NZDT", "EDT", "CDT", "MDT", "PDT")
 
 _ZONE = r"\s*(z|[+-]\d{2}:?(?:\d{2})?(?:\s*(?:utc|gmt))?|[a-z]{2,5})?(?:\s*\[([a-z_]+(?:/[a-z_+-]+)*[0-9]*)\])?"
@@ -42,8 +52,6 @@ LAYOUTS: dict[str, tuple[str, tuple[int, ...]]] = {
     "dmy": (rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}})[,t\s]\s*{_CLOCK}{_ZONE}$", (4, 3, 1, 5, 6, 7, 8, 0, 9, 10)),
     "mdy": (rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}})[,t\s]\s*{_CLOCK}{_ZONE}$", (4, 1, 3, 5, 6, 7, 8, 0, 9, 10)),
 }
-#: Values that more than one layout may fit.
-_DOUBTFUL = r"^\W*\d{1,2}([-/.])\d{1,2}\1\d{4}\b"
 #: Years back that a time without year may lie (29 February needs up to eight).
 YEARS_BACK = 8
 
@@ -123,112 +131,159 @@ def _instant(r: Column, wall: Column, host_zone: Column) -> Column:
     )
 
 
+_READING = "array<struct<layout:string,meaning:string,utc_us:bigint>>"
+
+
+def _reading(layout: Column, meaning: str, us: Column) -> Column:
+    return F.struct(layout.alias("layout"), F.lit(meaning).alias("meaning"), us.cast("bigint").alias("utc_us"))
+
+
+def _in_zone(r: Column, wall: Column, zone: Column, meaning: str) -> Column:
+    """Readings of a wall time in a named zone: one, or two where it occurs twice or never."""
+    hour = F.lit(3_600_000_000)
+    first = micros(F.convert_timezone(zone, F.lit("UTC"), wall))
+    back = lambda us: F.convert_timezone(F.lit("UTC"), zone, from_micros(us))
+    pair = lambda a, us, b, us2: F.array(_reading(r["layout"], a, us), _reading(r["layout"], b, us2))
+    one = lambda us: F.when(back(us) != wall, pair("after_gap", us, "before_gap", us - hour)).when(back(us + hour) == wall, pair("first", us, "second", us + hour)).otherwise(F.array(_reading(r["layout"], meaning, us)))
+    return F.flatten(F.transform(F.array(first), one)).cast(_READING)
+
+
+def _meanings(r: Column, wall: Column, host_zone: Column) -> Column:
+    """All readings of one layout's wall time."""
+    minute, known = F.lit(60_000_000), F.coalesce(host_zone, F.lit("UTC")) != "UTC"
+    at = lambda minutes: micros(wall) - minutes.cast("bigint") * minute
+    only = lambda meaning, us: F.array(_reading(r["layout"], meaning, us)).cast(_READING)
+    none = F.array(_reading(r["layout"], "elsewhere", F.lit(None))).cast(_READING)
+    others = F.coalesce(F.element_at(F.create_map(*(x for k, v in SHARED.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), r["zone"]), F.array().cast("array<int>"))
+    shared = F.concat(only("abbreviation", at(r["usual"])), F.transform(others, lambda m: _reading(r["layout"], "other_abbreviation", at(m))).cast(_READING))
+    in_host = _in_zone(r, wall, host_zone, "host")
+    not_host = F.when(micros(wall) != in_host[0]["utc_us"], only("not_host", micros(wall))).otherwise(F.array().cast(_READING))
+    return (
+        F.when(r["offset"].isNotNull(), only("stated", at(r["offset"])))
+        .when(r["named"].isNotNull(), F.when(r["zone"] != "", only("named", wall_to_utc(wall, r["named"], r["winter"]))).otherwise(_in_zone(r, wall, r["named"], "named")))
+        .when((r["zone"] != "") & r["usual"].isNotNull() & known, only("host", wall_to_utc(wall, host_zone, r["winter"])))
+        .when((r["zone"] != "") & r["usual"].isNotNull(), F.when(F.size(others) > 0, shared).otherwise(only("stated", at(r["usual"]))))
+        .when(r["zone"] != "", F.concat(only("unknown_zone", F.when(known, wall_to_utc(wall, host_zone, r["winter"])).otherwise(micros(wall))), none))
+        .when(known, F.concat(in_host, not_host))
+        # a host whose clock is known to run in UTC leaves no doubt
+        .when(host_zone.isNotNull(), only("host", micros(wall)))
+        .otherwise(F.concat(only("no_zone", micros(wall)), none))
+    )
+
+
 def _resolve(r: Column, host_zone: Column, received: Column) -> Column:
+    """Readings under one layout; a time without year is the latest such not after the arrival."""
     stamp = lambda y: F.concat(y, r["tail"]).try_cast("timestamp_ntz")
-    dated = _instant(r, stamp(F.lpad(r["year"], 4, "0")), host_zone)
-    years = F.transform(F.sequence(F.lit(-1), F.lit(YEARS_BACK)), lambda k: _instant(r, stamp((F.year(received) - k).cast("string")), host_zone))
-    past = F.array_max(F.filter(years, lambda t: t <= micros(received)))
-    return F.struct(r["layout"].alias("layout"), F.when(r["year"] != "", dated).otherwise(past).alias("utc_us"))
+    years = F.transform(F.sequence(F.lit(-1), F.lit(YEARS_BACK)), lambda k: stamp((F.year(received) - k).cast("string")))
+    past = F.try_element_at(F.filter(years, lambda w: _instant(r, w, host_zone) <= micros(received)), F.lit(1))
+    wall = F.when(r["year"] != "", stamp(F.lpad(r["year"], 4, "0"))).otherwise(past)
+    return F.flatten(F.transform(F.filter(F.array(wall), lambda w: w.isNotNull()), lambda w: _meanings(r, w, host_zone)))
 
 
 def readings(value: Column, host_zone: Column, received: Column) -> Column:
-    """array<struct<layout, utc_us>> of every reading that fits the raw value.
+    """array<struct<layout, meaning, utc_us>> of every reading that fits the raw value.
 
     NULL, blank and unusable values give an empty array, so do zero and
     calendar dates that do not exist. Plain numbers are read by magnitude:
-    below 1e11 seconds, 1e14 milliseconds, 1e17 microseconds, else nanoseconds.
+    below 1e11 seconds, 1e14 milliseconds, 1e17 microseconds, else nanoseconds;
+    one that then lies outside of mid-1970 to 2100 is also read in the other units
+    that bring it there. The reading "elsewhere" has no instant: it stands for
+    the zones that a time without a known zone may be in.
     """
     text = F.coalesce(F.regexp_replace(F.regexp_replace(value, r"(?U)^[\s\[\"']+|[\s\"']+$", ""), r"^([^\[]*)\]$", "$1"), F.lit(""))
     number = F.when(text.rlike(r"^[+-]?\d{1,20}(\.\d*)?([eE][+-]?\d{1,2})?$"), text.try_cast("decimal(38,9)"))
     size = F.abs(number)
-    us = (
-        F.when(size < 100_000_000_000, number * 1_000_000)
-        .when(size < 100_000_000_000_000, number * 1_000)
-        .when(size < 100_000_000_000_000_000, number)
-        .otherwise(number / 1_000)
-    )
-    unit = F.when(size < 100_000_000_000, "epoch_s").when(size < 100_000_000_000_000, "epoch_ms").when(size < 100_000_000_000_000_000, "epoch_us").otherwise("epoch_ns")
-    plain = F.array(F.struct(unit.alias("layout"), F.floor(us).try_cast("bigint").alias("utc_us")))
+    units = ("epoch_s", number * 1_000_000), ("epoch_ms", number * 1_000), ("epoch_us", number), ("epoch_ns", number / 1_000)
+    place = F.when(size < 100_000_000_000, 0).when(size < 100_000_000_000_000, 1).when(size < 100_000_000_000_000_000, 2).otherwise(3)
+    every = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(u).alias("layout"), F.floor(us).try_cast("bigint").alias("us")) for k, (u, us) in enumerate(units)))
+    likely = lambda us: us.between(15_552_000_000_000, 4_102_444_800_000_000)
+    own = F.filter(every, lambda x: x["k"] == place)
+    rest = F.filter(every, lambda x: (x["k"] != place) & likely(x["us"]))
+    doubtful = ~F.coalesce(likely(own[0]["us"]), F.lit(False)) & (F.size(rest) > 0)
+    as_reading = lambda meaning: lambda x: _reading(x["layout"], meaning, x["us"])
+    plain = F.when(doubtful, F.concat(F.transform(own, as_reading("unlikely_unit")), F.transform(rest, as_reading("other_unit")))).otherwise(F.transform(own, as_reading("unit"))).cast(_READING)
     fitting = F.filter(F.array(*(_parts(text, k) for k in LAYOUTS)), lambda x: x.isNotNull())
     steps = F.transform(fitting, lambda x: F.split(x, r"\|"))
     steps = F.transform(F.transform(steps, _tail), _offset)
-    dated = F.transform(steps, lambda r: _resolve(r, host_zone, received))
-    return F.filter(F.when(number.isNotNull(), F.when(number != 0, plain).otherwise(F.slice(plain, 1, 0))).otherwise(dated), lambda r: r["utc_us"].isNotNull())
+    dated = F.flatten(F.transform(steps, lambda r: _resolve(r, host_zone, received)))
+    got = F.when(number.isNotNull(), F.when(number != 0, plain).otherwise(F.slice(plain, 1, 0))).otherwise(dated)
+    return F.when(F.exists(got, lambda r: r["utc_us"].isNotNull()), got).otherwise(F.array().cast(_READING))
 
 
-def mixture(counts: pd.DataFrame, rounds: int = 30, prior: float = 0.5) -> pd.DataFrame:
-    """EM over one source: (layouts list, lags list, n) rows to layout weights.
+def mixture(counts: list[tuple[list[str], list[str], list[float], int]], rounds: int = 30, prior: float = 0.5, trust: float = 10.0) -> dict[str, float]:
+    """EM over one source: (layouts, meanings, lags, n) rows to the weights of layouts and of meanings.
 
     The likelihood of a reading falls with the distance between the instant
-    and the arrival, in decades of hours; the prior keeps every weight positive.
+    and the arrival, in decades of hours. Layouts start equal, with a small
+    prior that keeps every weight positive; meanings have the trust that
+    MEANINGS gives them as a prior worth ``trust`` times the values themselves.
     """
-    names = sorted({x for row in counts["layouts"] for x in row})
-    weight = dict.fromkeys(names, 1 / len(names))
+    layouts = sorted({x for row in counts for x in row[0]})
+    meanings = sorted({x for row in counts for x in row[1]})
+    size = float(sum(row[3] for row in counts))
+    layout = dict.fromkeys(layouts, 1 / len(layouts))
+    belief = {m: MEANINGS[m][0] for m in meanings}
+    meaning = dict(belief)
     for _ in range(rounds):
-        total = dict.fromkeys(names, prior)
-        for layouts, lags, n in zip(counts["layouts"], counts["lags"], counts["n"], strict=True):
-            mass = [weight[x] * 10.0 ** -float(g) for x, g in zip(layouts, lags, strict=True)]
+        by_layout, by_meaning, asked = dict.fromkeys(layouts, prior), dict.fromkeys(meanings, 0.0), dict.fromkeys(meanings, 0.0)
+        for ls, ms, lags, n in counts:
+            mass = [layout[x] * meaning[m] * 10.0 ** -g for x, m, g in zip(ls, ms, lags, strict=True)]
             z = sum(mass) or 1.0
-            for x, m in zip(layouts, mass, strict=True):
-                total[x] += n * m / z
-        z = sum(total.values())
-        weight = {k: v / z for k, v in total.items()}
-    return pd.DataFrame({"layout": list(weight), "weight": list(weight.values())})
+            for x, m, v in zip(ls, ms, mass, strict=True):
+                by_layout[x] += n * v / z
+                by_meaning[m] += n * v / z
+                asked[m] += n
+        z = sum(by_layout.values())
+        layout = {k: v / z for k, v in by_layout.items()}
+        # a meaning competes only where a value may have it
+        meaning = {m: (by_meaning[m] + trust * size * belief[m]) / (asked[m] + trust * size) for m in meanings}
+    return {**{f"l:{k}": v for k, v in layout.items()}, **{f"m:{k}": v for k, v in meaning.items()}}
 
 
 def normalise_times(
     df: DataFrame, *, value: str, source: Column, host_zone: Column, received: str, min_posterior: float = 0.8
 ) -> DataFrame:
-    """Add utc_us, layout, posterior and ambiguous to every row.
-
-    utc_us is NULL where the value denotes no instant. Values of layouts that
-    exclude each other are finished within the scan; only values that fit
-    several (day and month in either order) take part in the mixture, which
-    reads the rows of their sources and joins one row per source. ambiguous is
-    true where the best posterior is below min_posterior; the best reading is
-    still given. An unknown arrival time leaves times without year unresolved.
-    Input columns named like results get a trailing underscore.
+    """Add utc_us, layout, meaning, posterior, ambiguous and doubt to every row.
+
+    utc_us is NULL where the value denotes no instant. All values take part in
+    the mixture of their source; the readings are made once and kept in the
+    shared folder, so pass only the columns that are needed. ambiguous is true
+    where the best posterior is below min_posterior, doubt then says why; the
+    best reading is still given. An unknown arrival time leaves times without
+    year unresolved. Input columns named like results get a trailing underscore.
     """
-    df = free(df, "utc_us", "layout", "posterior", "ambiguous", "_source", "_one", "_r", "_l", "_g", "_s", "_w", "_m", "_z", "_b")
-    rows = df.withColumn("_source", F.coalesce(source, F.lit("")))
-    doubtful = F.coalesce(F.col(value).rlike(_DOUBTFUL), F.lit(False))
-    # generators keep later filters from being moved down and reading the values a second time
-    read = lambda x: x.select("*", F.explode(F.array(readings(F.col(value), host_zone, F.col(received)))).alias("_r"))
-    first = F.explode_outer(F.slice(readings(F.col(value), host_zone, F.col(received)), 1, 1)).alias("_one")
-    one = F.col("_one")
-    plain = rows.filter(~doubtful).select("*", first).withColumns(
-        {"utc_us": one["utc_us"], "layout": one["layout"], "posterior": F.when(one.isNotNull(), 1.0), "ambiguous": F.lit(False)}
-    )
+    results = ("utc_us", "layout", "meaning", "posterior", "ambiguous", "doubt")
+    df = free(df, *results, "_source", "_r", "_g", "_s", "_w", "_m", "_z", "_b")
     hours = lambda r: F.abs(F.coalesce(micros(F.col(received)) - r["utc_us"], F.lit(0))) / 3.6e9
-    lag = lambda r: F.floor(F.log10(hours(r) + 1) * 2) / 2 + F.when(r["utc_us"] > micros(F.col(received)) + 60_000_000, 2.0).otherwise(0.0)
-    with_lags = lambda x: read(x).withColumns({"_l": F.transform("_r", lambda r: r["layout"]), "_g": F.transform("_r", lag)})
-    concerned = rows.filter(doubtful).select("_source").distinct()
+    lag = lambda r: F.floor(F.log10(hours(r) + 1) * 2) / 2 + F.when(r["utc_us"] > micros(F.col(received)) + 60_000_000, 1.0).otherwise(0.0)
+    # both sides of a fold, a gap or an unknown zone are equally far from the arrival
+    tied = F.array_contains(F.transform("_r", lambda r: r["meaning"]), "second") | F.array_contains(F.transform("_r", lambda r: r["meaning"]), "before_gap")
+    lags = F.when(F.size("_r") > 1, F.transform("_r", lambda r: F.when(tied | r["utc_us"].isNull(), lag(F.col("_r")[0])).otherwise(lag(r)))).otherwise(F.transform("_r", lambda r: F.lit(0.0)))
+    # a generator keeps later filters from being moved down and reading the values a second time
+    read = df.withColumn("_source", F.coalesce(source, F.lit(""))).select("*", F.explode(F.array(readings(F.col(value), host_zone, F.col(received)))).alias("_r"))
+    read = cut(read.withColumn("_g", lags))
+    labels = lambda k: F.transform("_r", lambda r: r[k])
     counts = (
-        with_lags(rows.join(concerned, "_source", "left_semi"))
-        .filter(F.size("_r") > 0)
-        .groupBy("_source", "_l", "_g")
+        read.filter(F.size("_r") > 0)
+        .groupBy("_source", labels("layout").alias("l"), labels("meaning").alias("m"), "_g")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("_source")
-        .agg(F.collect_list(F.struct(F.col("_l").alias("layouts"), F.col("_g").alias("lags"), "n")).alias("rows"))
+        .agg(F.collect_list(F.struct("l", "m", F.col("_g").alias("g"), "n")).alias("rows"))
     )
-    hard = with_lags(rows.filter(doubtful))
 
     @F.pandas_udf("map<string,double>")
     def fit(rows: pd.Series) -> pd.Series:
-        out = []
-        for r in rows:
-            m = mixture(pd.DataFrame([{k: x[k] for k in ("layouts", "lags", "n")} for x in r]))
-            out.append(dict(zip(m["layout"], m["weight"], strict=True)))
-        return pd.Series(out)
+        return pd.Series([mixture([(list(x["l"]), list(x["m"]), list(x["g"]), x["n"]) for x in r]) for r in rows])
 
     weights = counts.select(F.col("_source").alias("_s"), fit("rows").alias("_w"))
-    scored = hard.join(weights, F.col("_source") == F.col("_s"), "left")
-    mass = F.transform("_r", lambda r: F.coalesce(F.element_at("_w", r["layout"]), F.lit(0.0)) * F.pow(F.lit(10.0), -lag(r)))
-    scored = scored.withColumn("_m", mass).withColumn("_z", F.aggregate("_m", F.lit(0.0), lambda a, x: a + x))
-    best = F.array_max(F.zip_with("_m", "_r", lambda m, r: F.struct(m.alias("m"), (-r["utc_us"]).alias("k"), r["layout"].alias("layout"), r["utc_us"].alias("utc_us"))))
-    scored = scored.withColumn("_b", best).withColumns(
-        {"utc_us": F.col("_b.utc_us"), "layout": F.col("_b.layout"), "posterior": F.when(F.col("_z") > 0, F.col("_b.m") / F.col("_z")), }
-    ).withColumn("ambiguous", F.coalesce(F.col("posterior"), F.lit(0.0)) < min_posterior)
-    keep = [*df.columns, "utc_us", "layout", "posterior", "ambiguous"]
-    pick = lambda x: x.select(*(F.col(f"`{c}`") for c in keep))
-    return pick(plain).unionByName(pick(scored))
+    scored = read.join(weights, F.col("_source") == F.col("_s"), "left")
+    weight = lambda k: F.coalesce(F.element_at("_w", k), F.lit(0.0))
+    mass = F.zip_with("_r", "_g", lambda r, g: weight(F.concat(F.lit("l:"), r["layout"])) * weight(F.concat(F.lit("m:"), r["meaning"])) * F.pow(F.lit(10.0), -g))
+    scored = scored.withColumn("_m", mass)
+    best = F.array_max(F.filter(F.zip_with("_m", "_r", lambda m, r: F.struct(m.alias("m"), (-r["utc_us"]).alias("k"), r["layout"].alias("layout"), r["meaning"].alias("meaning"), r["utc_us"].alias("utc_us"))), lambda x: x["utc_us"].isNotNull()))
+    scored = scored.withColumns({"_z": F.aggregate("_m", F.lit(0.0), lambda a, x: a + x), "_b": best})
+    doubts = F.create_map(*(F.lit(x) for k, (_, d) in MEANINGS.items() if d for x in (k, d)))
+    scored = scored.withColumns({"utc_us": F.col("_b.utc_us"), "layout": F.col("_b.layout"), "meaning": F.col("_b.meaning"), "posterior": F.when(F.col("_z") > 0, F.col("_b.m") / F.col("_z"))})
+    ambiguous = F.col("utc_us").isNotNull() & (F.coalesce(F.col("posterior"), F.lit(0.0)) < min_posterior)
+    scored = scored.withColumn("ambiguous", ambiguous).withColumn("doubt", F.when(F.col("ambiguous"), F.coalesce(F.element_at(doubts, F.col("meaning")), F.lit("day_or_month"))))
+    return scored.select(*(F.col(f"`{c}`") for c in (*df.columns, *results)))

@@ -9,9 +9,9 @@ from lumenlog.session import table
 
 
 def zones(spark, d):
-    """One valid zone per host; the table has one row per host of the fleet."""
+    """One valid zone per host, UTC where none is given; the table has one row per host of the fleet."""
     clocks = table(spark, d, "host_clocks").groupBy("host").agg(F.max("tz_name").alias("tz_name"))
-    return clocks.select("host", times.known_zone(F.col("tz_name")).alias("tz_name"))
+    return clocks.select("host", F.coalesce(times.known_zone(F.col("tz_name")), F.lit("UTC")).alias("tz_name"))
 
 
 def all_times(spark, d):
@@ -30,6 +30,12 @@ def all_times(spark, d):
     return times.normalise_times(every, value="raw", source=F.concat_ws("/", "src", "who"), host_zone=F.col("tz_name"), received="received_at")
 
 
+def p3_doubts(spark, d):
+    """How many times of each source have which doubt, and how many are read as what."""
+    t = all_times(spark, d).filter("utc_us is not null")
+    return t.groupBy("src", "layout", "meaning", "doubt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ambiguous").cast("int")).alias("ambiguous"))
+
+
 def p3_found(spark, d):
     return all_times(spark, d).filter("utc_us is not null").select("src", "rec_key", "utc_us")
 
@@ -58,7 +64,7 @@ def p7_found(spark, d):
     return loglines.parse_entries(table(spark, d, "raw_lines"), text_blocks=loglines.OPEN_BLOCKS).select("artifact_id", "first_line", "last_line", "level", "component")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p6_hierarchies": p6_hierarchies, "p6_descendants": p6_descendants, "p7_found": p7_found}
+QUERIES = {"p3_found": p3_found, "p3_doubts": p3_doubts, "p5_found": p5_found, "p6_found": p6_found, "p6_hierarchies": p6_hierarchies, "p6_descendants": p6_descendants, "p7_found": p7_found}
 
 _SPANS = """WITH RECURSIVE ids AS (SELECT lower(trim(trace_id)) AS t, lower(trim(span_id)) AS s, lower(trim(parent_span_id)) AS p FROM evidence WHERE nullif(trim(trace_id), '') IS NOT NULL AND nullif(trim(span_id), '') IS NOT NULL),
 n AS (SELECT DISTINCT t, s FROM ids), l AS (SELECT n.t, n.s, min(k.p) AS p FROM n LEFT JOIN (SELECT i.* FROM ids i JOIN n q ON q.t = i.t AND q.s = i.p WHERE regexp_matches(i.p, '[^0-]')) k ON k.t = n.t AND k.s = n.s GROUP BY 1, 2),

@@ -1,7 +1,6 @@
 import datetime as dt
 from zoneinfo import ZoneInfo
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from lumenlog.operators import times
@@ -80,5 +79,40 @@ def test_empty_table(spark):
 
 
 def test_mixture_prefers_the_layout_of_the_source():
-    m = times.mixture(pd.DataFrame({"layouts": [["dmy"], ["dmy", "mdy"]], "lags": [[0.0], [0.0, 0.0]], "n": [50, 10]})).set_index("layout")["weight"]
-    assert m["dmy"] > 0.9
+    m = times.mixture([(["dmy"], ["stated"], [0.0], 50), (["dmy", "mdy"], ["stated", "stated"], [0.0, 0.0], 10)])
+    assert m["l:dmy"] > 0.9
+
+
+DOUBTS = [
+    ("2026-10-25 02:30:00", "Europe/Berlin", "fold"),
+    ("2026-03-29 02:30:00", "Europe/Berlin", "gap"),
+    ("2026-10-20 10:00:00", None, "no_zone"),
+    ("2026-10-20 10:00:00 XYZ", None, "unknown_zone"),
+    ("2026-10-31 23:00:00 CST", None, "shared_zone"),
+    ("99999999999", None, "unit"),
+    ("2026-10-20 10:00:00", "UTC", None),
+    ("2026-10-20 10:00:00", "Europe/Berlin", None),
+    ("2026-10-20 10:00:00Z", None, None),
+    ("2026-10-25 02:30:00 CET", "Europe/Berlin", None),
+    ("1785028731", None, None),
+]
+
+
+def test_every_doubt_is_marked(spark):
+    df = spark.createDataFrame([(a, b, dt.datetime(2026, 11, 1, 4)) for a, b, _ in DOUBTS], ROWS)
+    out = times.normalise_times(df, value="raw", source=F.lit("s"), host_zone=F.col("zone"), received="arrived").collect()
+    got = {(r["raw"], r["zone"]): r for r in out}
+    for raw, zone, doubt in DOUBTS:
+        r = got[raw, zone]
+        # the arrival speaks against neither zone of CST strongly, so the usual one stays likely
+        if doubt != "shared_zone":
+            assert (r["ambiguous"], r["doubt"]) == (doubt is not None, doubt), r
+        assert r["utc_us"] is not None and 0 < r["posterior"] <= 1
+    assert got["2026-10-31 23:00:00 CST", None]["posterior"] < 1
+
+
+def test_every_value_takes_part_in_the_mixture(spark):
+    rows = [("2026-10-20 10:00:00Z", None, AT)] * 5 + [("2026-10-20 10:00:00", None, AT)]
+    df = spark.createDataFrame(rows, ROWS)
+    out = times.normalise_times(df, value="raw", source=F.lit("s"), host_zone=F.col("zone"), received="arrived").collect()
+    assert {r["meaning"] for r in out} == {"stated", "no_zone"}
