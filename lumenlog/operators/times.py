@@ -14,6 +14,7 @@ with the highest posterior. A value whose best posterior stays below
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from zoneinfo import available_timezones
 
 import pandas as pd
@@ -34,7 +35,7 @@ SHARED = {"CST": (480, -300), "IST": (120, 60), "BST": (360,), "EST": (600,), "M
 MEANINGS = {
     "stated": (1.0, None), "named": (1.0, None), "unit": (1.0, None), "host": (0.999, None), "not_host": (0.001, "zone"), "abbreviation": (0.95, "shared_zone"), "other_abbreviation": (0.025, "shared_zone"),
     "no_zone": (0.7, "no_zone"), "unknown_zone": (0.6, "unknown_zone"), "elsewhere": (0.3, "no_zone"), "first": (0.6, "fold"), "second": (0.4, "fold"), "after_gap": (0.6, "gap"), "before_gap": (0.4, "gap"),
-    "unlikely_unit": (0.5, "unit"), "other_unit": (0.5, "unit"),
+    "unlikely_unit": (0.6, "unit"), "other_unit": (0.4, "unit"),
 }
 SUMMER = ("WEST", "BST", "CEST", "EEST", "ACDT", "AEDT", "NZDT", "EDT", "CDT", "MDT", "PDT")
 
@@ -52,6 +53,8 @@ LAYOUTS: dict[str, tuple[str, tuple[int, ...]]] = {
     "dmy": (rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}})[,t\s]\s*{_CLOCK}{_ZONE}$", (4, 3, 1, 5, 6, 7, 8, 0, 9, 10)),
     "mdy": (rf"^(\d{{1,2}})([-/.])(\d{{1,2}})\2(\d{{4}})[,t\s]\s*{_CLOCK}{_ZONE}$", (4, 1, 3, 5, 6, 7, 8, 0, 9, 10)),
 }
+#: Layouts whose values begin with a digit, and with a letter.
+WITH_DIGIT, WITH_LETTER = ("ymd", "basic", "clf", "rfc", "dmy", "mdy"), ("asctime", "rfc", "twelve", "yearless")
 #: Years back that a time without year may lie (29 February needs up to eight).
 YEARS_BACK = 8
 
@@ -131,6 +134,11 @@ def _instant(r: Column, wall: Column, host_zone: Column) -> Column:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 _READING = "array<struct<layout:string,meaning:string,utc_us:bigint>>"
 
 
@@ -156,15 +164,15 @@ def _meanings(r: Column, wall: Column, host_zone: Column) -> Column:
     none = F.array(_reading(r["layout"], "elsewhere", F.lit(None))).cast(_READING)
     others = F.coalesce(F.element_at(F.create_map(*(x for k, v in SHARED.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), r["zone"]), F.array().cast("array<int>"))
     shared = F.concat(only("abbreviation", at(r["usual"])), F.transform(others, lambda m: _reading(r["layout"], "other_abbreviation", at(m))).cast(_READING))
-    in_host = _in_zone(r, wall, host_zone, "host")
-    not_host = F.when(micros(wall) != in_host[0]["utc_us"], only("not_host", micros(wall))).otherwise(F.array().cast(_READING))
+    either = lambda h: F.when(micros(wall) != h[0]["utc_us"], F.concat(h, only("not_host", micros(wall)))).otherwise(h)
+    in_host = _let(_in_zone(r, wall, host_zone, "host"), either)
     return (
         F.when(r["offset"].isNotNull(), only("stated", at(r["offset"])))
         .when(r["named"].isNotNull(), F.when(r["zone"] != "", only("named", wall_to_utc(wall, r["named"], r["winter"]))).otherwise(_in_zone(r, wall, r["named"], "named")))
         .when((r["zone"] != "") & r["usual"].isNotNull() & known, only("host", wall_to_utc(wall, host_zone, r["winter"])))
         .when((r["zone"] != "") & r["usual"].isNotNull(), F.when(F.size(others) > 0, shared).otherwise(only("stated", at(r["usual"]))))
         .when(r["zone"] != "", F.concat(only("unknown_zone", F.when(known, wall_to_utc(wall, host_zone, r["winter"])).otherwise(micros(wall))), none))
-        .when(known, F.concat(in_host, not_host))
+        .when(known, in_host)
         # a host whose clock is known to run in UTC leaves no doubt
         .when(host_zone.isNotNull(), only("host", micros(wall)))
         .otherwise(F.concat(only("no_zone", micros(wall)), none))
@@ -190,8 +198,20 @@ def readings(value: Column, host_zone: Column, received: Column) -> Column:
     that bring it there. The reading "elsewhere" has no instant: it stands for
     the zones that a time without a known zone may be in.
     """
-    text = F.coalesce(F.regexp_replace(F.regexp_replace(value, r"(?U)^[\s\[\"']+|[\s\"']+$", ""), r"^([^\[]*)\]$", "$1"), F.lit(""))
-    number = F.when(text.rlike(r"^[+-]?\d{1,20}(\.\d*)?([eE][+-]?\d{1,2})?$"), text.try_cast("decimal(38,9)"))
+    text = plain_text(value)
+    return _readings(text, plain_number(text), host_zone, received)
+
+
+def plain_text(value: Column) -> Column:
+    """The value without blanks, quotes and brackets around it; '' for NULL."""
+    return F.coalesce(F.regexp_replace(F.regexp_replace(value, r"(?U)^[\s\[\"']+|[\s\"']+$", ""), r"^([^\[]*)\]$", "$1"), F.lit(""))
+
+
+def plain_number(text: Column) -> Column:
+    return F.when(text.rlike(r"^[+-]?\d{1,20}(\.\d*)?([eE][+-]?\d{1,2})?$"), text.try_cast("decimal(38,9)"))
+
+
+def _readings(text: Column, number: Column, host_zone: Column, received: Column) -> Column:
     size = F.abs(number)
     units = ("epoch_s", number * 1_000_000), ("epoch_ms", number * 1_000), ("epoch_us", number), ("epoch_ns", number / 1_000)
     place = F.when(size < 100_000_000_000, 0).when(size < 100_000_000_000_000, 1).when(size < 100_000_000_000_000_000, 2).otherwise(3)
@@ -202,12 +222,13 @@ def readings(value: Column, host_zone: Column, received: Column) -> Column:
     doubtful = ~F.coalesce(likely(own[0]["us"]), F.lit(False)) & (F.size(rest) > 0)
     as_reading = lambda meaning: lambda x: _reading(x["layout"], meaning, x["us"])
     plain = F.when(doubtful, F.concat(F.transform(own, as_reading("unlikely_unit")), F.transform(rest, as_reading("other_unit")))).otherwise(F.transform(own, as_reading("unit"))).cast(_READING)
-    fitting = F.filter(F.array(*(_parts(text, k) for k in LAYOUTS)), lambda x: x.isNotNull())
+    tried = lambda begin: F.array(*(_parts(text, k) for k in LAYOUTS if k in begin))
+    fitting = F.filter(F.when(text.rlike(r"^\d"), tried(WITH_DIGIT)).otherwise(tried(WITH_LETTER)), lambda x: x.isNotNull())
     steps = F.transform(fitting, lambda x: F.split(x, r"\|"))
     steps = F.transform(F.transform(steps, _tail), _offset)
     dated = F.flatten(F.transform(steps, lambda r: _resolve(r, host_zone, received)))
     got = F.when(number.isNotNull(), F.when(number != 0, plain).otherwise(F.slice(plain, 1, 0))).otherwise(dated)
-    return F.when(F.exists(got, lambda r: r["utc_us"].isNotNull()), got).otherwise(F.array().cast(_READING))
+    return _let(got, lambda g: F.when(F.exists(g, lambda r: r["utc_us"].isNotNull()), g).otherwise(F.array().cast(_READING)))
 
 
 def mixture(counts: list[tuple[list[str], list[str], list[float], int]], rounds: int = 30, prior: float = 0.5, trust: float = 10.0) -> dict[str, float]:
@@ -253,14 +274,15 @@ def normalise_times(
     year unresolved. Input columns named like results get a trailing underscore.
     """
     results = ("utc_us", "layout", "meaning", "posterior", "ambiguous", "doubt")
-    df = free(df, *results, "_source", "_r", "_g", "_s", "_w", "_m", "_z", "_b")
+    df = free(df, *results, "_source", "_t", "_n", "_r", "_g", "_s", "_w", "_m", "_z", "_b")
     hours = lambda r: F.abs(F.coalesce(micros(F.col(received)) - r["utc_us"], F.lit(0))) / 3.6e9
     lag = lambda r: F.floor(F.log10(hours(r) + 1) * 2) / 2 + F.when(r["utc_us"] > micros(F.col(received)) + 60_000_000, 1.0).otherwise(0.0)
-    # both sides of a fold, a gap or an unknown zone are equally far from the arrival
-    tied = F.array_contains(F.transform("_r", lambda r: r["meaning"]), "second") | F.array_contains(F.transform("_r", lambda r: r["meaning"]), "before_gap")
+    # both sides of a fold, a gap, a unit or an unknown zone are equally far from the arrival
+    tied = F.exists("_r", lambda r: r["meaning"].isin("second", "before_gap", "other_unit"))
     lags = F.when(F.size("_r") > 1, F.transform("_r", lambda r: F.when(tied | r["utc_us"].isNull(), lag(F.col("_r")[0])).otherwise(lag(r)))).otherwise(F.transform("_r", lambda r: F.lit(0.0)))
     # a generator keeps later filters from being moved down and reading the values a second time
-    read = df.withColumn("_source", F.coalesce(source, F.lit(""))).select("*", F.explode(F.array(readings(F.col(value), host_zone, F.col(received)))).alias("_r"))
+    read = df.withColumns({"_source": F.coalesce(source, F.lit("")), "_t": plain_text(F.col(value))}).withColumn("_n", plain_number(F.col("_t")))
+    read = read.select("*", F.explode(F.array(_readings(F.col("_t"), F.col("_n"), host_zone, F.col(received)))).alias("_r")).drop("_t", "_n")
     read = cut(read.withColumn("_g", lags))
     labels = lambda k: F.transform("_r", lambda r: r[k])
     counts = (
