@@ -2,10 +2,11 @@
 
 Lines are put together to entries, then the heads of the entries are split
 into tokens. Tokens carry a type (time, level, number, key=, bracket, word);
-distributed counts of the words that follow each typed prefix form n-gram
-dictionaries, which separate slots with constant words from slots with
-variable ones. The resulting templates get their roles by type: the level
-token, the keyed or delimited variable word as component, the rest as message.
+distributed counts of the bigrams and trigrams that end in each word form the
+n-gram dictionaries, which separate slots with constant words from slots with
+variable ones: by the trigrams, or by the bigrams where those are rare. The
+resulting templates get their roles by type: the level token, the keyed or
+delimited variable word as component, the rest as message.
 
 Files of any size are spread: lines are grouped by (file, block of line
 numbers), and what an open entry carries into the next block travels through
@@ -22,6 +23,7 @@ from lumenlog.session import cut
 BLOCK = 4096
 #: Blocks after its first whose lines an entry's text holds where the text is bounded.
 OPEN_BLOCKS = 16
+#: Tokens of a line that may state its level and component; what comes later belongs to the message.
 HEAD_TOKENS = 9
 #: A slot with fewer different words than this is constant once it was seen often enough.
 FEW, OFTEN = 5, 50
@@ -70,26 +72,32 @@ def entries(lines: DataFrame, block: int = BLOCK, *, text_blocks: int | None = N
     all of an object; first_line and last_line are those of the whole entry.
     """
     rows = clean_lines(lines, block)
-    rows = rows.withColumns({"_head": F.col("text").rlike(HEAD), "_open": F.regexp_extract("text", CRI, 3) == "P"})
-    ends = rows.groupBy("artifact_id", "block").agg(F.max_by("_open", "line_number").alias("_o"))
+    rows = rows.withColumns({"_head": F.col("text").rlike(HEAD), "_stream": F.regexp_extract("text", CRI, 2), "_open": F.regexp_extract("text", CRI, 3) == "P"})
+    # a line goes on with the open one of its own stream, in its block or in the last block before that the stream has lines in
+    ends = rows.filter("_stream <> ''").groupBy("artifact_id", "block", "_stream").agg(F.max_by("_open", "line_number").alias("_o"))
     before = Window.partitionBy("artifact_id").orderBy("block")
-    opened = ends.select("artifact_id", "block", F.coalesce(F.lag("_o").over(before), F.lit(False)).alias("_o"))
-    w = Window.partitionBy("artifact_id", "block").orderBy("line_number")
-    rows = rows.join(opened, ["artifact_id", "block"]).withColumn(
-        "_head", F.col("_head") & ~F.coalesce(F.lag("_open").over(w), F.col("_o"))
-    )
+    earlier = Window.partitionBy("artifact_id", "_stream").orderBy("block")
+    opened = ends.select("artifact_id", "block", "_stream", F.coalesce(F.lag("_o").over(earlier), F.lit(False)).alias("_o"))
+    ws = Window.partitionBy("artifact_id", "block", "_stream").orderBy("line_number")
+    rows = rows.join(opened, ["artifact_id", "block", "_stream"], "left")
+    rows = rows.withColumn("_head", F.col("_head") & ((F.col("_stream") == "") | ~F.coalesce(F.lag("_open").over(ws), F.col("_o"), F.lit(False))))
     opening = F.when(F.col("_head"), F.struct(F.col("line_number").alias("n"), F.col("text").rlike(r"^\s*\{").alias("object")))
+    so_far = Window.unboundedPreceding, Window.currentRow
+    rows = rows.withColumn("_own", F.max(opening).over(ws.rowsBetween(*so_far)))
+    own = rows.filter("_stream <> ''").groupBy("artifact_id", "block", "_stream").agg(F.max(opening).alias("_l"))
+    own = own.select("artifact_id", "block", "_stream", F.max("_l").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     last = rows.groupBy("artifact_id", "block").agg(F.max(opening).alias("_l"), F.min("line_number").alias("_f"))
-    so_far = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = last.select("artifact_id", "block", F.struct(F.min("_f").over(so_far).alias("n"), F.lit(False).alias("object")).alias("_f"), F.max("_l").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
-    start = F.max(opening).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("_s", start).join(carried, ["artifact_id", "block"]).withColumn("_s", F.coalesce("_s", "_c", "_f"))
+    carried = last.select("artifact_id", "block", F.struct(F.min("_f").over(before.rowsBetween(*so_far)).alias("n"), F.lit(False).alias("object")).alias("_f"), F.max("_l").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
+    w = Window.partitionBy("artifact_id", "block").orderBy("line_number")
+    rows = rows.withColumn("_any", F.max(opening).over(w.rowsBetween(*so_far))).join(carried, ["artifact_id", "block"]).join(own, ["artifact_id", "block", "_stream"], "left")
+    rows = rows.withColumn("_s", F.coalesce(F.when(F.col("_stream") != "", F.coalesce("_own", "_before")), "_any", "_c", "_f"))
     held = F.lit(True) if text_blocks is None else F.col("_s.object") | (F.col("block") - F.floor(F.col("_s.n") / block) <= text_blocks)
     grouped = rows.groupBy("artifact_id", F.col("_s.n").alias("_s")).agg(F.array_sort(F.collect_list(F.when(held, F.struct("line_number", "text")))).alias("l"), F.max("line_number").alias("last_line"))
     parts = F.transform("l", lambda x: x["text"])
     partial = F.size("l") > 1
     cri = F.regexp_extract(F.col("l")[0]["text"], CRI, 3) != ""
-    body = F.array_join(F.transform(parts, lambda t: F.regexp_extract(t, CRI, 4)), "")
+    # parts of a container line follow each other directly; lines without its head keep their text
+    body = F.array_join(F.transform(parts, lambda t: F.when(F.regexp_extract(t, CRI, 3) != "", F.regexp_extract(t, CRI, 4)).otherwise(F.concat(F.lit("\n"), t))), "")
     whole = F.when(cri & partial, F.concat(F.regexp_extract(F.col("l")[0]["text"], rf"^({TIME}) (stdout|stderr)", 0), F.lit(" F "), body)).otherwise(F.array_join(parts, "\n"))
     return grouped.select(
         "artifact_id", F.col("l")[0]["line_number"].alias("first_line"), "last_line", whole.alias("text"),
@@ -119,32 +127,47 @@ def typed_heads(df: DataFrame) -> DataFrame:
     return df.withColumn("tokens", tokens).withColumn("types", F.transform("tokens", _token_type))
 
 
-def slot_dictionary(heads: DataFrame) -> DataFrame:
-    """(prefix, n, words): how often and with how many words each typed prefix goes on.
+def slots_of(types: Column, tokens: Column) -> Column:
+    """array<struct<k, kind, word, one, two>>: each slot with the types of the one and the two tokens before it.
 
-    The bigrams and trigrams of a head are counted with everything typed
-    before them as context, first per word, so that a frequent word is one
-    row per map task before the exchange.
+    Trigrams that close a line are told from those that others follow.
     """
-    k = F.explode(F.sequence(F.lit(1), F.size("types")))
-    slots = heads.filter(F.size("types") > 0).select("types", "tokens", k.alias("k")).select(
-        F.array_join(F.slice("types", 1, F.col("k") - 1), " ").alias("prefix"), F.element_at("types", F.col("k")).alias("kind"), F.element_at("tokens", F.col("k")).alias("word")
-    )
-    words = slots.groupBy("prefix", "kind", "word").agg(F.count(F.lit(1)).alias("n"))
-    return words.groupBy("prefix", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+    at = lambda k: F.coalesce(F.try_element_at(types, F.greatest(k, F.lit(1))), F.lit(""))
+    previous = lambda k, steps: F.when(k > steps, at(k - steps)).otherwise(F.lit("^"))
+    return F.transform(
+        F.sequence(F.lit(1), F.size(types)),
+        lambda k: F.struct((k - 1).alias("k"), F.element_at(types, k).alias("kind"), F.element_at(tokens, k).alias("word"), previous(k, 1).alias("one"), F.concat_ws(" ", previous(k, 2), previous(k, 1), F.when((k == F.size(types)) & (k < HEAD_TOKENS), "$")).alias("two")),
+    )
+
+
+def ngram_dictionaries(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bigrams, trigrams): context, kind, n, words.
+
+    Both are counted per word first, so that a frequent word is one row per
+    map task before the exchange; n counts a context's slots of a kind, words
+    how many words fill them.
+    """
+    slots = heads.filter(F.size("types") > 0).select(F.explode(slots_of(F.col("types"), F.col("tokens"))).alias("s")).select("s.kind", "s.word", "s.one", "s.two")
+    trigrams = cut(slots.groupBy("two", "one", "kind", "word").agg(F.count(F.lit(1)).alias("n")))
+    filled = lambda df, c: df.groupBy(c, "kind").agg(F.sum("n").alias(f"n_{c}"), F.count(F.lit(1)).alias(f"words_{c}"))
+    return filled(trigrams.groupBy("one", "kind", "word").agg(F.sum("n").alias("n")), "one"), filled(trigrams, "two")
 
 
 def templates(heads: DataFrame) -> DataFrame:
     """(types, constant): for each head layout, which of its slots hold constant words.
 
-    Later a slot holds the component if it is a variable word that a constant slot
+    A slot is constant if few words end its trigrams; where its trigrams are
+    rare, its bigrams decide. Later a slot holds the component if it is a variable word that a constant slot
     follows (a delimiter, number or one of few words), a word with a colon
     right after the level, or a bracketed variable word after the level.
     """
     counted = heads.groupBy(F.col("types").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    slots = counted.select("t", F.posexplode("t").alias("k", "kind")).withColumn("prefix", F.array_join(F.slice("t", 1, F.col("k")), " "))
-    known = slots.join(slot_dictionary(heads), ["prefix", "kind"], "left")
-    constant = (F.col("words") < FEW) & ((F.col("n") >= OFTEN) | (F.col("kind") == "word"))
+    slots = counted.filter(F.size("t") > 0).select("t", F.explode(slots_of(F.col("t"), F.col("t"))).alias("s")).select("t", "s.k", "s.kind", "s.one", "s.two")
+    bigrams, trigrams = ngram_dictionaries(heads)
+    known = slots.join(trigrams, ["two", "kind"], "left").join(bigrams, ["one", "kind"], "left")
+    rare = F.col("n_two") < OFTEN
+    words, n = F.when(rare, F.col("words_one")).otherwise(F.col("words_two")), F.when(rare, F.col("n_one")).otherwise(F.col("n_two"))
+    constant = (words < FEW) & ((n >= OFTEN) | (F.col("kind") == "word"))
     return known.groupBy(F.col("t").alias("types")).agg(F.array_sort(F.collect_list(F.struct("k", constant.alias("c")))).alias("s")).select("types", F.transform("s", lambda x: x["c"]).alias("constant"))
 
 

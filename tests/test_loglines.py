@@ -48,3 +48,25 @@ def test_headless_and_missing_lines(spark):
 
 def test_empty(spark):
     assert parse(spark, []) == []
+
+
+def test_partial_lines_go_on_within_their_stream(spark):
+    t = "2026-03-20T18:31:27.219Z"
+    lines = [(1, f"{t} stdout P part one "), (2, f"{t} stderr F ERROR other stream"), (3, f"{t} stdout P part two "), (4, f"{t} stdout F end"), (5, "  File \"/srv/a.py\", line 3, in f"), (6, "ValueError: x")]
+    df = spark.createDataFrame([(1, n, x) for n, x in lines], "artifact_id int, line_number bigint, raw_line string")
+    for block in (2, 4096):
+        got = {r["first_line"]: r for r in loglines.parse_entries(df, block=block).collect()}
+        assert {k: (r["last_line"], r["level"]) for k, r in got.items()} == {1: (6, ""), 2: (2, "ERROR")} or {k: (r["last_line"], r["level"]) for k, r in got.items()} == {1: (4, ""), 2: (6, "ERROR")}
+        assert "part one part two end" in got[1]["text"]
+        # lines without a container head keep their text in the entry they follow
+        assert any("ValueError: x" in r["text"] for r in got.values())
+
+
+def test_trigrams_tell_constant_from_variable_words(spark):
+    rows = [(1, k, f"2026-08-05 20:16:0{k % 10} svc-{k} {'poll' if k % 2 else 'run'}") for k in range(200)]
+    df = spark.createDataFrame(rows, "artifact_id int, line_number bigint, raw_line string")
+    heads = loglines.typed_heads(loglines.entries(df))
+    assert [list(r["constant"]) for r in loglines.templates(heads).collect()] == [[True, False, True]]
+    bigrams, trigrams = loglines.ngram_dictionaries(heads)
+    assert {(r["one"], r["kind"]): (r["n_one"], r["words_one"]) for r in bigrams.collect()}[("<time>", "word")] == (200, 200)
+    assert {(r["two"], r["kind"]): (r["n_two"], r["words_two"]) for r in trigrams.collect()}[("<time> word $", "word")] == (200, 2)

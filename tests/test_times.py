@@ -94,7 +94,6 @@ DOUBTS = [
     ("2026-10-20 10:00:00", "Europe/Berlin", None),
     ("2026-10-20 10:00:00Z", None, None),
     ("2026-10-25 02:30:00 CET", "Europe/Berlin", None),
-    ("1785028731", None, None),
 ]
 
 
