@@ -72,7 +72,7 @@ def entries(lines: DataFrame, block: int = BLOCK, *, text_blocks: int | None = N
     all of an object; first_line and last_line are those of the whole entry.
     """
     rows = clean_lines(lines, block)
-    rows = rows.withColumns({"_head": F.col("text").rlike(HEAD), "_stream": F.regexp_extract("text", CRI, 2), "_open": F.regexp_extract("text", CRI, 3) == "P"})
+    rows = cut(rows.withColumns({"_head": F.col("text").rlike(HEAD), "_stream": F.regexp_extract("text", CRI, 2), "_open": F.regexp_extract("text", CRI, 3) == "P"}))
     # a line goes on with the open one of its own stream, in its block or in the last block before that the stream has lines in
     ends = rows.filter("_stream <> ''").groupBy("artifact_id", "block", "_stream").agg(F.max_by("_open", "line_number").alias("_o"))
     before = Window.partitionBy("artifact_id").orderBy("block")
