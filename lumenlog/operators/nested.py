@@ -189,15 +189,17 @@ def records_with_resource_keys(exports: DataFrame) -> DataFrame:
 
     The resource of a record is its label cut to the resource's length; both
     lie in the same payload, so records and attributes meet in one exchange
-    by (export, resource) in which a record set and its resource's few keys
+    by (export, label of the resource) in which a record set and its resource's few keys
     are packed together.
     """
     nodes = flatten(exports, "export_id", "payload", tables=[ATTRIBUTES, RECORDS])
-    res = F.try_element_at("positions", F.lit(1))
+    # a record lies in scope, list, scope list and its resource's list; an attribute in the list of the resource object
+    up = F.when(F.col("table") == RECORDS, parent_label(F.col("label"), 4)).otherwise(parent_label(F.col("label"), 3))
     s = lambda k: F.coalesce(F.try_element_at("scalars", F.lit(k)), F.lit(""))
-    record = F.struct(F.try_element_at("positions", F.lit(2)).alias("scope_pos"), F.try_element_at("positions", F.lit(3)).alias("rec_pos"), s("traceId").alias("trace_id"), s("spanId").alias("span_id"))
+    at = lambda k: F.try_element_at("positions", F.lit(k + 1))
+    record = F.struct(at(0).alias("res_pos"), at(1).alias("scope_pos"), at(2).alias("rec_pos"), s("traceId").alias("trace_id"), s("spanId").alias("span_id"))
     packed = (
-        nodes.groupBy(F.col("doc").alias("export_id"), res.alias("res_pos"))
+        nodes.groupBy(F.col("doc").alias("export_id"), up.alias("resource"))
         .agg(
             F.collect_list(F.when(F.col("table") == RECORDS, record)).alias("records"),
             F.collect_set(F.when(F.col("table") == ATTRIBUTES, F.nullif(s("key"), F.lit("")))).alias("keys"),
@@ -206,6 +208,6 @@ def records_with_resource_keys(exports: DataFrame) -> DataFrame:
     )
     keys = F.when(F.size("keys") == 0, F.array(F.lit(""))).otherwise(F.col("keys"))
     return (
-        packed.select("export_id", "res_pos", F.explode("records").alias("r"), keys.alias("keys"))
-        .select("export_id", "res_pos", "r.scope_pos", "r.rec_pos", "r.trace_id", "r.span_id", F.explode("keys").alias("attr_key"))
+        packed.select("export_id", F.explode("records").alias("r"), keys.alias("keys"))
+        .select("export_id", "r.res_pos", "r.scope_pos", "r.rec_pos", "r.trace_id", "r.span_id", F.explode("keys").alias("attr_key"))
     )

@@ -16,13 +16,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder named in spark.checkpoint.dir.
 
-    Only where neither the setting nor a directory exists (tests on one
-    machine) a temporary folder is set.
+    Only where neither the setting nor a directory exists and the session
+    runs on one machine (tests) a temporary folder is set; on a cluster, where
+    no executor could read it, that is an error.
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not shared:
         shared = os.path.join(tempfile.gettempdir(), "lumenlog-checkpoints")
     spark.sparkContext.setCheckpointDir(shared)
