@@ -63,7 +63,15 @@ _GROUPS = f"""WITH k AS (SELECT *, nullif(regexp_replace(regexp_replace({message
  coalesce(nullif(regexp_extract(lower(coalesce(correlation_key, '')), '([0-9a-f]{{64}})', 1), ''), sha256(concat_ws('|', {", ".join(f"coalesce(nullif(nullif(lower(trim({c})), ''), '__none__'), '__none__')" for c in ("trace_id", "request_id", "span_id"))}))) AS i FROM evidence),
  n AS (SELECT k.*, list_sum([{", ".join("CAST(" + (f"{c} IS NOT NULL AND {c} <> ''" if t else f"{c} IS NOT NULL") + " AS INTEGER)" for c, t in _COLUMNS.items())}]) AS filled FROM k WHERE f IS NOT NULL)
 SELECT id AS evidence_id FROM (SELECT id, row_number() OVER (PARTITION BY analysis_id, f, i ORDER BY filled DESC, last_seen DESC NULLS LAST, id) AS place, count(*) OVER (PARTITION BY analysis_id, f, i) AS n FROM n) WHERE place = 1 AND n > 1"""
+_TRUST = "CASE " + " ".join(f"WHEN lower(trim(source_format)) IN ({', '.join(repr(x) for x in v)}) THEN {k}" for k, v in survivors.TRUST.items()) + " ELSE 0 END"
+_FILLED = {c: f"CAST({c} IS NOT NULL AND {c} <> '' AS INTEGER)" if t else f"CAST({c} IS NOT NULL AS INTEGER)" for c, t in _COLUMNS.items()}
+_EXTREME = {"first_seen": "min", "first_line_number": "min", "last_seen": "max", "last_line_number": "max", "occurrence_count": "max"}
+_FIELD = {c: f"{_EXTREME[c]}({c})" if c in _EXTREME else f"arg_max_null({c}, {{'f': {_FILLED[c]}, 'p': priority, 't': coalesce(last_seen, TIMESTAMP '0001-01-01'), 'n': CAST({c} IS NOT NULL AS INTEGER), 'v': coalesce({c}, {repr('') if t else 0})}})" for c, t in _COLUMNS.items()}
+_SURVIVORS = f"""WITH k AS ({_GROUPS.split("WITH k AS (", 1)[1].split("FROM evidence)", 1)[0]}FROM evidence),
+n AS (SELECT k.*, {" + ".join(_FILLED.values())} AS filled FROM k), r AS (SELECT *, {_TRUST} * 1000 + filled AS priority, CASE WHEN analysis_id IS NULL OR f IS NULL OR i IS NULL THEN id END AS alone FROM n)
+SELECT analysis_id AS same_analysis, f AS same_fingerprint, i AS same_key, arg_max(id, {{'f': filled, 'n': CAST(last_seen IS NOT NULL AS INTEGER), 't': coalesce(last_seen, TIMESTAMP '0001-01-01'), 'i': -id}}) AS best_id, count(*) AS copies, {", ".join(f"{e} AS {c}_" for c, e in _FIELD.items() if c != "id")} FROM r GROUP BY analysis_id, f, i, alone"""
+_SURVIVORS = f"SELECT same_analysis, same_fingerprint, same_key, best_id, copies, {', '.join(f'{c}_ AS {c}' for c in _COLUMNS if c != 'id')} FROM ({_SURVIVORS})"
 _ID = "try_cast(nullif(regexp_extract({c}, '(?i)^\\s*evidence-(\\d+)\\s*$', 1), '') AS BIGINT)"
 _LINKED = f"""WITH RECURSIVE e0 AS (SELECT {_ID.format(c="source_id")} AS a, {_ID.format(c="target_id")} AS b FROM correlation_edges), e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b),
 reach(u, v) AS (SELECT a, a FROM e UNION SELECT reach.u, e.b FROM reach JOIN e ON e.a = reach.v) SELECT min(v) AS group_id, u AS evidence_id FROM reach GROUP BY u"""
-ORACLES: dict[str, str] = {"p1_found": _GROUPS, "p4_found": _LINKED}
+ORACLES: dict[str, str] = {"p1_found": _GROUPS, "p1_survivors": _SURVIVORS, "p4_found": _LINKED}

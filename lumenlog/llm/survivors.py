@@ -17,6 +17,23 @@ from lumenlog.functions.text import same_fingerprint, same_key
 from lumenlog.session import free
 
 
+#: Trust in a format, more is better: records with named fields, lines of a fixed layout, free text; what was read off a picture has none.
+TRUST = {
+    3: ("opentelemetry", "json", "container", "browser", "serverless", "cloud_gateway"),
+    2: ("syslog", "web_server", "database", "message_broker"),
+    1: ("generic", "stack_trace", "ci_cd"),
+}
+
+
+def source_trust(source_format: Column) -> Column:
+    """Trust in the source of a row; unknown, missing and pictured sources have 0."""
+    c = F.lower(F.trim(F.coalesce(source_format, F.lit(""))))
+    found = None
+    for trust, formats in TRUST.items():
+        found = F.when(c.isin(*formats), trust) if found is None else found.when(c.isin(*formats), trust)
+    return found.otherwise(0)
+
+
 def filled(df: DataFrame, name: str) -> Column:
     c = F.col(f"`{name}`")
     kind = df.schema[name].dataType.simpleString()
@@ -85,8 +102,8 @@ def survivors(
 def evidence_survivors(evidence: DataFrame) -> DataFrame:
     """Survivors of ``evidence``: same analysis, same fingerprint, same identity.
 
-    Adds same_fingerprint and same_key. A copy is trusted by how complete it
-    is. first_seen is the earliest, last_seen the latest, occurrence_count the
+    Adds same_fingerprint and same_key. A value is trusted by the format it
+    came from, then by how complete its row is. first_seen is the earliest, last_seen the latest, occurrence_count the
     largest of the copies.
     """
     return survivors(
@@ -98,6 +115,7 @@ def evidence_survivors(evidence: DataFrame) -> DataFrame:
         },
         row_id="id",
         time="last_seen",
+        priority=source_trust(F.col("source_format")) * 1000 + completeness(evidence, evidence.columns),
         count="occurrence_count",
         least=("first_seen", "first_line_number"),
         greatest=("last_seen", "last_line_number"),
