@@ -4,7 +4,8 @@ All test items form one generalised suffix automaton over normalised words.
 Each document is streamed through it once, tracking the longest suffix that
 occurs in some item; the maximal matches are chained per item to stretches
 that bear a changed word or an interposed speaker mark, and an item counts as
-leaked if one stretch, or two a few sentences apart, holds enough of it.
+leaked if one stretch, or two a few sentences apart, holds enough of it. Spans
+beyond the limits of length or coverage can be taken out of the documents.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-#: The items are the stated query set; more words than this do not go to every executor.
+#: The items are the stated query set; more words than this are refused, as they are read on the driver.
 MAX_ITEM_WORDS = 5_000_000
+#: Words of items in one automaton (some 450 bytes a word); more items are matched set by set.
+SET_WORDS = 500_000
 _NOISE = re.compile(r"<[^<>]{0,200}>|^\s*(?:\[[^\]\n]{0,20}\]\s*)?\w{1,20}(?:\s+wrote)?:\s|[​-‍⁠﻿­]", re.M)
 _WORD = re.compile(r"\w+(?:[-'’]\w+)*")
 
@@ -164,47 +167,136 @@ def covered(parts: list[tuple[int, int, int]], *, slip: int = 2, insert: int = 6
     return best
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", shortest: int = 4, share: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, covered, item_words) for documents that hold at least ``share`` of an item.
+class Suite:
+    """A set of items: the automaton of those of ``shortest`` words or more, and the shorter ones, which are only found whole."""
 
-    covered counts the item's words from the first to the last of each
-    stretch. NULL and blank texts hold and are nothing; of repeated items each
-    is reported; whole texts are read whatever their length. The items must
-    not exceed MAX_ITEM_WORDS words in all.
-    """
-    rows = items.filter(F.col(text).isNotNull()).select(item_id, text).orderBy(item_id).collect()
-    automaton, ids = Automaton(), []
+    def __init__(self, shortest: int) -> None:
+        self.shortest, self.words = shortest, 0
+        self.automaton, self.ids = Automaton(), []
+        self.short: dict[tuple[str, ...], list] = defaultdict(list)
+
+    def add(self, item: object, w: list[str]) -> None:
+        self.words += len(w)
+        if len(w) < self.shortest:
+            self.short[tuple(w)].append(item)
+        else:
+            self.automaton.add(w)
+            self.ids.append(item)
+
+    def found(self, w: list[str], share: float) -> Iterator[tuple[object, int, int, list[tuple[int, int, int]]]]:
+        """(item, covered, words of the item, matched parts) of each item that the words hold enough of."""
+        parts: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for end, n, places in self.automaton.matches(w, self.shortest):
+            for item, at in places:
+                parts[item].append((end - n, at - n, n))
+        for item, p in parts.items():
+            size = self.automaton.sizes[item]
+            if sum(x[2] for x in p) * 2 >= size * share:
+                got = covered(p)
+                if got >= size * share:
+                    yield self.ids[item], got, size, p
+        places: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for n in {len(k) for k in self.short}:
+            for k in range(len(w) - n + 1):
+                key = tuple(w[k : k + n])
+                if key in self.short:
+                    places[key].append(k)
+        for key, at in places.items():
+            for item in self.short[key]:
+                yield item, len(key), len(key), [(k, 0, len(key)) for k in at]
+
+
+def suites(items: DataFrame, item_id: str, text: str, shortest: int) -> list[Suite]:
+    """The items in sets of at most SET_WORDS words (or one longer item)."""
+    made: list[Suite] = []
     total = 0
-    for r in rows:
+    for r in items.filter(F.col(text).isNotNull()).select(item_id, text).orderBy(item_id).collect():
         w = words(r[1])
         if w:
             total += len(w)
             if total > MAX_ITEM_WORDS:
                 raise ValueError(f"the test items hold more than {MAX_ITEM_WORDS} words; run them in several sets")
-            automaton.add(w)
-            ids.append(r[0])
-    automaton.close(shortest)
-    shared = documents.sparkSession.sparkContext.broadcast((automaton, ids))
+            if not made or made[-1].words + len(w) > SET_WORDS:
+                made.append(Suite(shortest))
+            made[-1].add(r[0], w)
+    for s in made:
+        s.automaton.close(shortest)
+    return made or [Suite(shortest)]
+
+
+def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", shortest: int = 4, share: float = 0.5) -> DataFrame:
+    """(doc_id, item_id, covered, item_words) for documents that hold at least ``share`` of an item.
+
+    covered counts the item's words from the first to the last of each
+    stretch. Items of fewer than ``shortest`` words are found whole only. NULL
+    and blank texts hold and are nothing; of repeated items each is reported;
+    whole texts are read whatever their length. The items must not exceed
+    MAX_ITEM_WORDS words in all.
+    """
+    d, i = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    result = None
+    for suite in suites(items, item_id, text, shortest):
+        shared = documents.sparkSession.sparkContext.broadcast(suite)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = [(doc, item, got, size) for doc, t in zip(pdf["d"], pdf["t"], strict=True) if t is not None for item, got, size, _ in shared.value.found(words(t), share)]
+                yield pd.DataFrame(out, columns=["doc", "item", "covered", "item_words"])
+
+        found = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, f"doc {d}, item {i}, covered int, item_words int")
+        result = found if result is None else result.unionByName(found)
+    return result.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "covered", "item_words")
+
+
+def located_words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """``words`` with the place of each in the text."""
+    kept: list[str] = []
+    origin: list[int] = []
+    last = 0
+    for m in _NOISE.finditer(text):
+        kept.append(text[last : m.start()])
+        origin.extend(range(last, m.start()))
+        if m.group()[0] not in "​‌‍⁠﻿­":
+            kept.append(" ")
+            origin.append(m.start())
+        last = m.end()
+    kept.append(text[last:])
+    origin.extend(range(last, len(text)))
+    plain = "".join(c if len(c.lower()) != 1 else c.lower() for c in "".join(kept)).replace("’", "'")
+    found = [(m.group(), origin[m.start()], origin[m.end() - 1] + 1) for m in _WORD.finditer(plain)]
+    return [x[0] for x in found], [x[1:] for x in found]
+
+
+def without_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", shortest: int = 4, share: float = 0.5, longest: int = 8) -> DataFrame:
+    """(doc_id, clean_text, removed): every document, with the leaked spans taken out.
+
+    A document that holds at least ``share`` of an item loses every stretch of
+    that item that has ``longest`` words or more, or that alone holds the
+    share. removed counts the words taken out. A space stays where a span was;
+    NULL texts stay NULL.
+    """
+    d = documents.schema[doc_id].dataType.simpleString()
+    shared = documents.sparkSession.sparkContext.broadcast(suites(items, item_id, text, shortest))
+
+    def clean(t: str | None) -> tuple[str | None, int]:
+        if t is None:
+            return None, 0
+        w, places = located_words(t)
+        gone: set[int] = set()
+        for suite in shared.value:
+            for _, _, size, parts in suite.found(w, share):
+                for a, b, i, j in stretches(parts, 2, 6):
+                    if b - a >= longest or j - i >= size * share:
+                        gone.update(range(max(a, 0), min(b, len(w))))
+        out, at = [], 0
+        for k in sorted(gone):
+            if k - 1 not in gone:
+                out.append(t[at : places[k][0]])
+            at = places[k][1]
+        return "".join([*out, t[at:]]), len(gone)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, names = shared.value
         for pdf in batches:
-            out = []
-            for doc, t in zip(pdf["d"], pdf["t"], strict=True):
-                if t is None:
-                    continue
-                parts: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-                for end, n, places in a.matches(words(t), shortest):
-                    for item, at in places:
-                        parts[item].append((end - n, at - n, n))
-                for item, p in parts.items():
-                    if sum(x[2] for x in p) * 2 < a.sizes[item] * share:
-                        continue
-                    got = covered(p)
-                    if got >= a.sizes[item] * share:
-                        out.append((doc, names[item], got, a.sizes[item]))
-            yield pd.DataFrame(out, columns=["doc", "item", "covered", "item_words"])
+            yield pd.DataFrame([(doc, *clean(t)) for doc, t in zip(pdf["d"], pdf["t"], strict=True)], columns=["doc_id", "clean_text", "removed"])
 
-    d, i = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    found = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, f"doc {d}, item {i}, covered int, item_words int")
-    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "covered", "item_words")
+    return documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, f"doc_id {d}, clean_text string, removed int")

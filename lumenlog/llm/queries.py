@@ -41,6 +41,10 @@ def p9_found(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_cleaned(spark, d):
+    return leaks.without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def _scored(spark, d):
     documents = table(spark, d, "documents").select("doc_id", "text", "source")
     return abuse.score_documents(documents, abuse.train(documents, table(spark, d, "doc_labels")))
@@ -58,7 +62,7 @@ def p10_rates(spark, d):
     return abuse.rates(_scored(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p4_found": p4_found, "p8_windows": p8_windows, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p4_found": p4_found, "p8_windows": p8_windows, "p9_found": p9_found, "p9_cleaned": p9_cleaned, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 _GROUPS = f"""WITH k AS (SELECT *, nullif(regexp_replace(regexp_replace({message_sql("fingerprint")}, '\\s+', ' ', 'g'), '^([^:\\s]*)\\s*:\\s*', '\\1:'), '') AS f,
  coalesce(nullif(regexp_extract(lower(coalesce(correlation_key, '')), '([0-9a-f]{{64}})', 1), ''), sha256(concat_ws('|', {", ".join(f"coalesce(nullif(nullif(lower(trim({c})), ''), '__none__'), '__none__')" for c in ("trace_id", "request_id", "span_id"))}))) AS i FROM evidence),
  n AS (SELECT k.*, list_sum([{", ".join("CAST(" + (f"{c} IS NOT NULL AND {c} <> ''" if t else f"{c} IS NOT NULL") + " AS INTEGER)" for c, t in _COLUMNS.items())}]) AS filled FROM k WHERE f IS NOT NULL)
