@@ -26,6 +26,7 @@ PYTHON_FRAME = r'(?md)^\s*File "([^"]+)", line (\d+), in (.+)$(?=\s*\S)'
 JAVA_FRAME = r"(?md)^\s*at\s+(?:(.+?)\()?([^():]+):(\d+)\)?$"
 NODE_FRAME = r"(?md)^\s*at\s+(?:(.+?)\s+\()?([^():]+):(\d+):\d+\)?$"
 PLACE = r"(?i)([\w./\\-]+\.[A-Za-z][A-Za-z0-9]{0,9}):(?:line\s+)?(\d+)(?::(\d+))?"
+LOOSE_FRAME = r"(?i)File\s*\"[^\"]+\"\s*,?\s*line\s+\d+|(?:^|[^A-Za-z0-9_])at\s+\S+\([^()]*:\d+\)"
 IMPORTANT_MARKS = ("warn", "error", "err", "severe", "fatal", "critical", "alert", "emerg", "exception", "failure", "traceback", "panic:", "segmentation fault", "slow query")
 IMPORTANT_STATUS = r"(?i)(?:\bstatus(?:[_-]?code)?[\s=:\"']+[45]\d{2}\b|\"\s+[45]\d{2}\s)"
 PAGE_LEVELS = ("CRITICAL", "CRITICAL", "CRITICAL", "ERROR", "WARNING", "INFO", "INFO", "DEBUG")
@@ -94,11 +95,16 @@ def stack_frames(text: Column) -> Column:
     return let(F.concat(python, calls), lambda named: F.when(F.size(named) > 0, named).otherwise(places))
 
 
+def contains_frame(text: Column) -> Column:
+    """A stack frame of any of the known shapes, also one that lost a blank."""
+    return reduce(lambda a, b: a | b, (text.rlike(p) for p in (PYTHON_FRAME, JAVA_FRAME, NODE_FRAME, PLACE, LOOSE_FRAME)))
+
+
 def may_be_important(text: Column) -> Column:
     """Cheap test before parsing: a marked word, a failing status or a stack frame."""
     low = F.lower(text)
     words = reduce(lambda a, b: a | b, (low.contains(m) for m in IMPORTANT_MARKS))
-    return words | text.rlike(IMPORTANT_STATUS) | text.rlike(PYTHON_FRAME) | text.rlike(JAVA_FRAME)
+    return words | (low.contains("status") & text.rlike(IMPORTANT_STATUS)) | contains_frame(text)
 
 
 def text_event(df: DataFrame, column: str, default_level: Column | None = None, prefix: str = "") -> DataFrame:
@@ -126,28 +132,12 @@ def syslog_level(priority: Column) -> Column:
     return F.element_at(F.array(*(F.lit(x) for x in PAGE_LEVELS)), F.pmod(F.coalesce(priority, F.lit(7)), F.lit(8)).cast("int") + 1)
 
 
-def access_line(text: Column) -> dict[str, Column]:
-    """Host, endpoint and status of a web access line."""
-    p = r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(\S+)\s+HTTP/\d(?:\.\d)?"\s+(\d{3})\s'
-    g = lambda n: blank_to_null(F.regexp_extract(text, p, n))
-    return {"host": g(1), "time_raw": g(2), "endpoint": g(3), "http_status": g(4).try_cast("int"), "level": level_of_status(g(4).try_cast("int"))}
-
-
 def cri_line(text: Column) -> dict[str, Column]:
     p = r"^(\d{4}-\d{2}-\d{2}T\S+)\s+(stdout|stderr)\s+([FP])\s([\s\S]*)$"
     g = lambda n: blank_to_null(F.regexp_extract(text, p, n))
     return {"time_raw": g(1), "stream": g(2), "flag": g(3), "body": F.regexp_extract(text, p, 4)}
 
 
-def balancer_line(text: Column) -> dict[str, Column]:
-    """Time, status and request of a load balancer line with shell-like quoting."""
-    parts = F.transform(F.regexp_extract_all(text, F.lit(r'("[^"]*"|\S+)'), 1), lambda x: F.regexp_replace(x, '^"|"$', ""))
-    at = lambda k: F.try_element_at(parts, F.lit(k + 1))
-    full = F.size(parts) > 12
-    status = F.when(full, at(8)).try_cast("int")
-    return {"time_raw": F.when(full, at(1)), "http_status": status, "endpoint": F.when(full, F.regexp_extract(at(12), r"^\S+\s+(\S+)", 1)), "level": level_of_status(status)}
-
-
 def cloudfront_row(columns: Column, names: Column) -> dict[str, Column]:
     """Canonical fields of a tab-separated row under its header; '-' is missing."""
     row = F.map_from_arrays(names, F.transform(columns, lambda x: F.nullif(x, F.lit("-"))))

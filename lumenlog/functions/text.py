@@ -44,10 +44,7 @@ def level(c: Column) -> Column:
     """Canonical level of a level text or number; NULL for NULL and blank."""
     up = F.upper(strip(c.cast("string")))
     num = F.when(up.rlike(r"^\d{1,18}$"), up.try_cast("bigint"))
-    aliased = up
-    for k, v in LEVEL_ALIASES.items():
-        if k != v:
-            aliased = F.when(up == k, F.lit(v)).otherwise(aliased)
+    aliased = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in LEVEL_ALIASES.items() for x in kv)), up), up)
     by_number = F.when(num >= 50, "CRITICAL").when(num >= 40, "ERROR").when(num >= 30, "WARNING").when(num >= 20, "INFO").otherwise("DEBUG")
     return F.when(num.isNotNull(), by_number).otherwise(blank_to_null(aliased))
 
