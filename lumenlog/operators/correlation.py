@@ -115,14 +115,24 @@ def parent_pairs(rows: DataFrame) -> DataFrame:
     The traces must agree where both are known and both formats must carry
     parent links; of several rows with the span the first in time and id is it.
     """
-    has = lambda p: weight(F.col(f"{p}.source_format"), "PARENT_SPAN").isNotNull()
-    spans = rows.filter("span_id is not null").select("analysis_id", "span_id", "id", "first_seen", "trace_id", "source_format")
-    kids = rows.filter("parent_span_id is not null").select("analysis_id", "parent_span_id", "id", "trace_id", "source_format")
-    pairs = spans.alias("p").join(kids.alias("c"), (F.col("p.analysis_id") == F.col("c.analysis_id")) & (F.col("p.span_id") == F.col("c.parent_span_id")))
-    agree = F.coalesce(F.col("p.trace_id") == F.col("c.trace_id"), F.lit(True))
-    ok = pairs.filter((F.col("p.id") != F.col("c.id")) & agree & has("p") & has("c"))
-    first = F.min(F.struct(F.col("p.first_seen").isNotNull().alias("k"), F.col("p.first_seen").alias("t"), F.col("p.id").alias("id")))
-    return ok.groupBy(F.col("c.analysis_id").alias("analysis_id"), F.col("c.id").alias("child")).agg(first["id"].alias("parent")).select("analysis_id", "parent", "child")
+    linked = rows.filter(weight(F.col("source_format"), "PARENT_SPAN").isNotNull())
+    order = F.struct(F.col("first_seen").isNotNull().alias("k"), F.col("first_seen").alias("t"), F.col("id").alias("id"))
+    spans = linked.filter("span_id is not null").select("analysis_id", F.col("span_id").alias("_span"), F.col("trace_id").alias("_trace"), order.alias("_p"))
+    kids = linked.filter("parent_span_id is not null").select("analysis_id", F.col("id").alias("child"), F.col("parent_span_id").alias("_span"), F.col("trace_id").alias("_trace"), F.coalesce(F.col("span_id") == F.col("parent_span_id"), F.lit(False)).alias("_self"))
+    # spans that recur are reduced to their first row before the join, so that none multiplies
+    by_trace = spans.filter("_trace is not null").groupBy("analysis_id", "_span", "_trace").agg(F.min("_p").alias("_p"))
+    untraced = spans.filter("_trace is null").groupBy("analysis_id", "_span").agg(F.min("_p").alias("_p"))
+    whole = spans.groupBy("analysis_id", "_span").agg(F.min("_p").alias("_p"))
+    plain = kids.filter(~F.col("_self"))
+    found = [
+        plain.filter("_trace is not null").join(by_trace, ["analysis_id", "_span", "_trace"]).select("analysis_id", "child", "_p"),
+        plain.filter("_trace is not null").join(untraced, ["analysis_id", "_span"]).select("analysis_id", "child", "_p"),
+        plain.filter("_trace is null").join(whole, ["analysis_id", "_span"]).select("analysis_id", "child", "_p"),
+    ]
+    # a row that names its own span as parent must not find itself
+    own = kids.filter("_self").alias("c").join(spans.alias("p"), ["analysis_id", "_span"]).filter((F.col("p._p.id") != F.col("c.child")) & F.coalesce(F.col("p._trace") == F.col("c._trace"), F.lit(True)))
+    every = reduce(DataFrame.unionByName, [*found, own.select("analysis_id", "child", F.col("p._p").alias("_p"))])
+    return every.groupBy("analysis_id", "child").agg(F.min("_p")["id"].alias("parent")).select("analysis_id", "parent", "child")
 
 
 def temporal_pairs(rows: DataFrame, *, window_ms: float = WINDOW_MS, neighbours: int = TEMPORAL_NEIGHBOURS) -> DataFrame:

@@ -5,14 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lumenlog.functions import detect, events
-from lumenlog.functions.text import level, level_of_status
+from lumenlog.functions.text import LEVEL_WORD, level, level_of_status
 from lumenlog.operators import loglines, nested
 
 #: Bytes of one record; longer lines are cut into fragments.
 RECORD_BYTES = 1_048_576
 # Folders and suffixes that hold no source text.
-SKIP_FOLDERS = (".git", "node_modules", "dist", "build", "venv", ".venv", "__pycache__", "target")
-BINARY_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".pdf", ".zip", ".gz", ".tar", ".jar", ".class", ".so", ".dll", ".exe", ".pyc", ".woff", ".woff2", ".ttf", ".mp3", ".mp4", ".bin", ".lock")
+SKIP_FOLDERS = (".git", "node_modules", ".venv", "venv", "dist", "build", "coverage", "__pycache__")
+BINARY_SUFFIXES = (
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".webp", ".pdf", ".zip", ".tar", ".gz",
+    ".bz2", ".7z", ".exe", ".dll", ".so", ".dylib", ".class", ".jar", ".woff", ".woff2",
+    ".ttf", ".eot", ".mp4", ".mp3", ".wav", ".bin", ".lock", ".pyc",
+)
+# Members that hold a field of a JSON record, in order of preference.
+ALIASES = {
+    "exception_type": ("exception_type", "exception.type", "error.type", "error.name"),
+    "exception_message": ("exception_message", "exceptionMessage", "exception.message", "error.message", "error", "exception"),
+    "message": ("message", "msg", "log", "@message", "body", "body.stringValue", "event.message", "error.message", "exception.message"),
+    "http_status": ("http_status", "status_code", "statusCode", "http.status_code", "http.response.status_code", "response.status", "response.statusCode", "elb_status_code", "target_status_code", "status"),
+    "level": ("level", "severity", "severityText", "severity_text", "logLevel", "levelname"),
+    "status_text": ("status", "state"),
+    "stream": ("stream",),
+    "time_raw": ("timestamp", "@timestamp", "time", "datetime", "ts", "eventTime", "observed_timestamp", "requestTimeEpoch", "request_time_epoch", "requestTime", "request_time", "requestContext.requestTimeEpoch", "requestContext.requestTime", "startedDateTime"),
+    "trace_id": ("trace_id", "traceId", "trace.id"),
+    "span_id": ("span_id", "spanId", "span.id"),
+    "parent_span_id": ("parent_span_id", "parentSpanId", "span.parent_id"),
+    "request_id": ("request_id", "requestId", "correlation_id", "correlationId", "x-request-id", "awsRequestId", "requestContext.requestId"),
+    "service": ("service.name", "service_name", "service", "app", "component", "kubernetes.labels.app", "kubernetes.container_name"),
+    "module": ("module", "logger", "logger_name", "scope.name"),
+    "host": ("host.name", "hostname", "host", "serverIPAddress", "kubernetes.host"),
+    "container": ("container.id", "container.name", "container_id", "container_name", "container", "kubernetes.container_name"),
+    "pod": ("pod", "pod_name", "kubernetes.pod_name"),
+    "endpoint": ("url.path", "endpoint", "route", "path", "url", "http.route", "request.url", "request.path", "requestContext.resourcePath", "resourcePath", "resource_path", "rawPath", "routeKey", "requestContext.http.path"),
+}
+FAILED = ("warn", "warning", "error", "failed", "failure", "fatal", "critical")
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -37,25 +63,35 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.col("path").alias("file"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_sha256"), detect.text_like(sample).alias("text_like"), detect.supported(sample, F.col("path"), none).alias("supported"), detect.detect_format(F.when(detect.text_like(sample), text), F.col("path")).alias("detected_format"))
 
 
-def _pick(v: Column, *paths: str) -> Column:
-    return F.coalesce(*(F.nullif(F.try_variant_get(v, p, "string"), F.lit("")) for p in paths))
+def _pick(v: Column, field: str) -> Column:
+    """The first member of a field's aliases that holds a plain value."""
+    path = lambda name: "$" + "".join(f"['{part}']" for part in name.split("."))
+    text = lambda name: F.try_variant_get(v, path(name), "string")
+    return F.coalesce(*(F.when(~text(n).rlike(r"^\s*[\[{]|^\s*$"), text(n)) for n in ALIASES[field]))
 
 
 def structured_event(v: Column) -> dict[str, Column]:
-    """Canonical fields of a JSON record, by the usual names in order of preference."""
-    status = _pick(v, "$.status", "$.status_code", "$.statusCode", "$.http_status", "$.response.status").try_cast("int")
-    kind = _pick(v, "$.exception.type", "$.error.type", "$.exception_type", "$.exceptionType")
-    message = _pick(v, "$.message", "$.msg", "$.log", "$.body", "$.body.stringValue", "$.text")
-    stated = level(_pick(v, "$.level", "$.severity", "$.severityText", "$.log_level", "$.lvl"))
-    return {
-        "time_raw": _pick(v, "$['@timestamp']", "$.timestamp", "$.time", "$.ts", "$.startedDateTime"),
-        "level": F.coalesce(stated, F.when(kind.isNotNull(), "ERROR"), F.when(_pick(v, "$.stream") == "stderr", "ERROR"), level_of_status(status)),
-        "trace_id": _pick(v, "$.trace_id", "$.traceId", "$.trace.id"), "request_id": _pick(v, "$.request_id", "$.requestId", "$.correlation_id", "$.awsRequestId"),
-        "span_id": _pick(v, "$.span_id", "$.spanId", "$.span.id"), "service": _pick(v, "$.service.name", "$.service", "$.service_name", "$.app"),
-        "module": _pick(v, "$.module", "$.logger"), "host": _pick(v, "$.host.name", "$.host", "$.hostname", "$.serverIPAddress"),
-        "endpoint": _pick(v, "$.endpoint", "$.path", "$.url", "$.request.url"), "http_status": status, "exception_type": kind,
-        "exception_message": _pick(v, "$.exception.message", "$.error.message", "$.exception_message"), "message": message,
-    }
+    """Canonical fields of a JSON record, by the usual names in order of preference.
+
+    Without a stated level, a word for failure as status, the error stream, an
+    exception and then the HTTP status tell it.
+    """
+    status = _pick(v, "http_status").try_cast("int")
+    kind, told = _pick(v, "exception_type"), _pick(v, "exception_message")
+    state = F.lower(_pick(v, "status_text"))
+    failing = F.when(state.isin("failed", "failure"), "ERROR").when(state.isin(*FAILED), level(state))
+    found = F.coalesce(level(_pick(v, "level")), failing, F.when((_pick(v, "stream") == "stderr") | kind.isNotNull() | told.isNotNull(), "ERROR"), level_of_status(status))
+    plain = ("time_raw", "trace_id", "span_id", "parent_span_id", "request_id", "service", "module", "host", "container", "pod", "endpoint")
+    return {**{k: _pick(v, k) for k in plain}, "level": found, "http_status": status, "exception_type": kind, "exception_message": told, "message": F.coalesce(_pick(v, "message"), told)}
+
+
+def structured_gate(v: Column) -> Column:
+    """Whether a JSON record may be worth keeping: a harmless level is not believed against signs of failure."""
+    stated = level(_pick(v, "level"))
+    status = _pick(v, "http_status").try_cast("int")
+    signs = stated.isin("WARNING", "ERROR", "CRITICAL") | _pick(v, "exception_type").isNotNull() | _pick(v, "exception_message").isNotNull() | (_pick(v, "stream") == "stderr") | F.lower(_pick(v, "status_text")).isin(*FAILED) | (status >= 400)
+    doubtful = F.when(stated.isNotNull(), False).when(status.isNull(), True).otherwise(_pick(v, "message").rlike(LEVEL_WORD))
+    return F.coalesce(signs, F.lit(False)) | doubtful
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
@@ -64,7 +100,7 @@ def json_lines(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("_v", v)
     good = rows.filter("_v is not null").select("file", "line_number", *(c.alias(k) for k, c in structured_event(F.col("_v")).items()))
     t = events.text_event(rows.filter("_v is null").filter(events.may_be_important(F.col("line"))).select("file", "line_number", "line"), "line")
-    bad = t.withColumnRenamed("line", "message").drop("stack_frames", "parent_span_id", "container", "pod")
+    bad = t.withColumnRenamed("line", "message").drop("stack_frames")
     return good.unionByName(bad, allowMissingColumns=True)
 
 
