@@ -114,7 +114,10 @@ def mark_furniture(lines: DataFrame, *, within: int = 2, across: int = 6, share:
     like = lambda c, *words: reduce(lambda x, y: x | y, (skeleton(c) == skeleton(F.lit(w)) for w in words))
     marked = (like(named[0], *PAGE_WORDS) & ((named[1] == "") | like(named[1], "of"))) | number.rlike(r"^(?:\[\d{1,4}\]|[-‐–] ?\d{1,4} ?[-‐–]|\d{1,4} ?/ ?\d{1,4})$")
     bare = F.when(number.rlike(r"^\d{1,4}$"), number.try_cast("int") - F.col("page_index"))
-    rows = lines.withColumns({"_e": edge, "_own": own, "_head": F.when(n <= 9, head), "_tail": F.when(n <= 9, tail), "_n": marked, "_b": F.when(edge, bare)})
+    # the patterns run once; what the counts below compare are hashes of the layouts
+    keys = F.struct(F.xxhash64(own).alias("own"), F.when(n <= 9, F.xxhash64(head)).alias("head"), F.when(n <= 9, F.xxhash64(tail)).alias("tail"), F.coalesce(marked, F.lit(False)).alias("n"), F.when(edge, bare).alias("b"))
+    rows = lines.withColumns({"_e": edge, "_k": keys})
+    rows = cut(rows.select(*lines.columns, "_e", *(F.col(f"_k.{k}").alias(f"_{k}") for k in ("own", "head", "tail", "n", "b"))))
     at_edge = F.countDistinct(F.when(F.col("_e"), F.col("page_id")))
     inside = F.count(F.when(~F.col("_e"), 1))
     in_scan = rows.groupBy("artifact_id", "_own").agg(at_edge.alias("pe"), inside.alias("pi"), F.countDistinct("page_id").alias("pp")).filter((F.col("pe") >= within) & (F.col("pe") >= share * (F.col("pe") + F.col("pi")))).select("artifact_id", "_own", F.lit(True).alias("_f1"))
@@ -138,7 +141,7 @@ def _words(line: Column) -> Column:
 
 
 def line_words(body: DataFrame) -> DataFrame:
-    """Body lines with words, the cut end (stub) and what follows it (rest).
+    """Body lines with the cut end (stub) and what follows it (rest).
 
     stub is the last word of a line that ends with a hyphen; rest the first
     word of the next body line of the page, else of the scan's next page.
@@ -157,10 +160,14 @@ def line_words(body: DataFrame) -> DataFrame:
     ends = rows.groupBy("artifact_id", "page_index", "page_id").agg(F.max_by(F.col("stub").isNotNull(), "line_no").alias("_c"))
     came = ends.select("page_id", F.coalesce(F.lag("_c").over(Window.partitionBy("artifact_id").orderBy("page_index", "page_id")), F.lit(False)).alias("_c"))
     rows = rows.join(came, "page_id", "left").withColumn("starts_cut", F.coalesce(whole, F.col("_c"), F.lit(False)))
+    return rows.drop("_first", "_next", "_open", "_c", "furniture")
+
+
+def whole_words() -> Column:
+    """The words of a body line but for those cut at its ends."""
     words = _words(F.col("line"))
     words = F.when(F.col("stub").isNotNull(), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
-    words = F.when(F.col("starts_cut"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))).otherwise(words)
-    return rows.withColumn("words", words).drop("_first", "_next", "_open", "_c")
+    return F.when(F.col("starts_cut"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))).otherwise(words)
 
 
 def corrections(counts: DataFrame, *, ratio: float = 8.0, least: int = 4) -> DataFrame:
@@ -223,9 +230,9 @@ class Scans:
     """The analysed pages: lines, word counts and corrections, each computed once."""
 
     def __init__(self, pages: DataFrame) -> None:
-        self.lines = cut(mark_furniture(page_lines(pages.select("artifact_id", "page_index", "page_id", "extracted_text"))))
+        self.lines = mark_furniture(page_lines(pages.select("artifact_id", "page_index", "page_id", "extracted_text")))
         self.body = cut(line_words(self.lines.filter(~F.col("furniture"))))
-        plain = self.body.select(F.explode("words").alias("word"))
+        plain = self.body.select(F.explode(whole_words()).alias("word"))
         self.counts = cut(plain.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
         self._joined()
         # numbers with a letter behind count as units only where the corpus writes units often
@@ -280,7 +287,7 @@ class Scans:
 
     def misread(self) -> DataFrame:
         """(page_id, line_no): body lines with a misread word, as often as they have some."""
-        whole = self.body.select("page_id", "line_no", F.explode("words").alias("token"))
+        whole = self.body.select("page_id", "line_no", F.explode(whole_words()).alias("token"))
         kept = self.joints.filter(~F.col("broken")).select("page_id", "line_no", F.col("stub").alias("token"))
         places = self._second_places()
         later = places.filter(~F.col("broken")).select(F.col("at_page").alias("page_id"), F.col("at_line").alias("line_no"), F.col("rest").alias("token"))
