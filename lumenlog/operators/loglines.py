@@ -21,10 +21,6 @@ from lumenlog.functions.text import blank_to_null
 from lumenlog.session import cut
 
 BLOCK = 4096
-#: Blocks after its first whose lines an entry's text holds where the text is bounded.
-OPEN_BLOCKS = 16
-#: Tokens of a line that may state its level and component; what comes later belongs to the message.
-HEAD_TOKENS = 9
 #: A slot with fewer different words than this is constant once it was seen often enough.
 FEW, OFTEN = 5, 50
 
@@ -47,7 +43,8 @@ TIME = (
 _KEY = r"[A-Za-z_@][\w.@-]*"
 CRI = rf"^({TIME}) (stdout|stderr) ([PF])(?: ([\s\S]*))?$"
 #: A head starts with a time (perhaps behind a priority or a bracket), with keyed fields that hold a time, with an object, or a slow-query mark.
-HEAD = rf"^(?:(?:<\d{{1,3}}>(?:\d )?\s*)?\[?(?:{TIME})(?![\w])|(?:{_KEY}=\S+ +){{0,3}}(?:ts|time|timestamp|t|@timestamp)=\"?(?:{TIME})|\{{|# Time:)"
+_TIMED = rf"(?:ts|time|timestamp|t|@timestamp)=\"?(?:{TIME})"
+HEAD = rf"^(?:(?:<\d{{1,3}}>(?:\d )?\s*)?\[?(?:{TIME})(?![\w])|(?:(?!{_TIMED}){_KEY}=\S+ +)*+{_TIMED}|\{{|# Time:)"
 LEVEL_KEYS, COMPONENT_KEYS = "level|lvl|severity|loglevel|log_level", "service|app|component|program|service_name|logger"
 
 
@@ -63,13 +60,17 @@ def clean_lines(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.withColumn("_p", F.lag("line_number").over(w)).filter("_p is null or _p <> line_number").drop("_p")
 
 
-def entries(lines: DataFrame, block: int = BLOCK, *, text_blocks: int | None = None) -> DataFrame:
+def entries(lines: DataFrame, block: int = BLOCK, *, text_blocks: int | None = None, stating: bool = False) -> DataFrame:
     """(artifact_id, first_line, last_line, head, text): physical lines put together.
 
     A partial container line goes on with the next line of its stream. Lines
     before the first head of a file form one entry. With ``text_blocks`` the
     text of an entry holds the lines of so many blocks after its first, but
     all of an object; first_line and last_line are those of the whole entry.
+    With ``stating`` the text leaves out lines that cannot change what the
+    entry states as level or component, wherever they stand: kept are an
+    object and the parts of a container line in full, and of other lines the
+    first two (of each block), which hold the head and a level line after it.
     """
     rows = clean_lines(lines, block)
     rows = cut(rows.withColumns({"_head": F.col("text").rlike(HEAD), "_stream": F.regexp_extract("text", CRI, 2), "_open": F.regexp_extract("text", CRI, 3) == "P"}))
@@ -86,12 +87,19 @@ def entries(lines: DataFrame, block: int = BLOCK, *, text_blocks: int | None = N
     rows = rows.withColumn("_own", F.max(opening).over(ws.rowsBetween(*so_far)))
     own = rows.filter("_stream <> ''").groupBy("artifact_id", "block", "_stream").agg(F.max(opening).alias("_l"))
     own = own.select("artifact_id", "block", "_stream", F.max("_l").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    last = rows.groupBy("artifact_id", "block").agg(F.max(opening).alias("_l"), F.min("line_number").alias("_f"))
-    carried = last.select("artifact_id", "block", F.struct(F.min("_f").over(before.rowsBetween(*so_far)).alias("n"), F.lit(False).alias("object")).alias("_f"), F.max("_l").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
+    last = rows.groupBy("artifact_id", "block").agg(F.max(opening).alias("_l"), F.min("line_number").alias("_f"), F.min(F.when(F.col("text").rlike(r"\S"), F.struct(F.col("line_number").alias("n"), F.col("text").rlike(r"^\s*\{").alias("object")))).alias("_t"))
+    # lines before the first head are an object if the file's first line that is not blank opens one
+    file = Window.partitionBy("artifact_id")
+    carried = last.select("artifact_id", "block", F.struct(F.min("_f").over(file).alias("n"), F.coalesce(F.min("_t").over(file)["object"], F.lit(False)).alias("object")).alias("_f"), F.max("_l").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
     w = Window.partitionBy("artifact_id", "block").orderBy("line_number")
-    rows = rows.withColumn("_any", F.max(opening).over(w.rowsBetween(*so_far))).join(carried, ["artifact_id", "block"]).join(own, ["artifact_id", "block", "_stream"], "left")
+    rows = rows.withColumn("_any", F.max(opening).over(w.rowsBetween(*so_far)))
+    if stating:  # a line whose last but one of no stream belongs to the same entry is the third or a later one
+        rows = rows.withColumn("_later", (F.col("_stream") == "") & (F.row_number().over(ws) > 2) & F.lag("_any.n", 2).over(ws).eqNullSafe(F.col("_any.n")))
+    rows = rows.join(carried, ["artifact_id", "block"]).join(own, ["artifact_id", "block", "_stream"], "left")
     rows = rows.withColumn("_s", F.coalesce(F.when(F.col("_stream") != "", F.coalesce("_own", "_before")), "_any", "_c", "_f"))
     held = F.lit(True) if text_blocks is None else F.col("_s.object") | (F.col("block") - F.floor(F.col("_s.n") / block) <= text_blocks)
+    if stating:
+        held = held & (F.col("_s.object") | ~F.col("_later"))
     grouped = rows.groupBy("artifact_id", F.col("_s.n").alias("_s")).agg(F.array_sort(F.collect_list(F.when(held, F.struct("line_number", "text")))).alias("l"), F.max("line_number").alias("last_line"))
     parts = F.transform("l", lambda x: x["text"])
     partial = F.size("l") > 1
@@ -120,11 +128,15 @@ def _token_type(t: Column) -> Column:
 
 
 def typed_heads(df: DataFrame) -> DataFrame:
-    """Add tokens and types (arrays) of the first line of each entry."""
+    """Add tokens and types (arrays) of the whole first line of each entry, and layout, a short key of the types.
+
+    A keyed field with its quoted value is one token: level words in it are no level.
+    """
     head = F.substring_index("text", "\n", 1)
     marked = F.regexp_replace(F.regexp_replace(head, r"^<(\d{1,3})>(?:\d )?\s*", "<pri> "), rf"\[?(?<!\S)\[?(?:{TIME})\]?(?!\S)", "<time>")
-    tokens = F.slice(F.filter(F.split(marked, r"\s+"), lambda x: x != ""), 1, HEAD_TOKENS)
-    return df.withColumn("tokens", tokens).withColumn("types", F.transform("tokens", _token_type))
+    tokens = F.regexp_extract_all(marked, F.lit(rf"{_KEY}=\"(?:[^\"\\]|\\.)*+\"\S*|\S+"), F.lit(0))
+    typed = df.withColumn("tokens", tokens).withColumn("types", F.transform("tokens", _token_type))
+    return typed.withColumn("layout", F.sha2(F.array_join("types", " "), 256))
 
 
 def slots_of(types: Column, tokens: Column) -> Column:
@@ -136,7 +148,7 @@ def slots_of(types: Column, tokens: Column) -> Column:
     previous = lambda k, steps: F.when(k > steps, at(k - steps)).otherwise(F.lit("^"))
     return F.transform(
         F.sequence(F.lit(1), F.size(types)),
-        lambda k: F.struct((k - 1).alias("k"), F.element_at(types, k).alias("kind"), F.element_at(tokens, k).alias("word"), previous(k, 1).alias("one"), F.concat_ws(" ", previous(k, 2), previous(k, 1), F.when((k == F.size(types)) & (k < HEAD_TOKENS), "$")).alias("two")),
+        lambda k: F.struct((k - 1).alias("k"), F.element_at(types, k).alias("kind"), F.element_at(tokens, k).alias("word"), previous(k, 1).alias("one"), F.concat_ws(" ", previous(k, 2), previous(k, 1), F.when(k == F.size(types), "$")).alias("two")),
     )
 
 
@@ -154,59 +166,69 @@ def ngram_dictionaries(heads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def templates(heads: DataFrame) -> DataFrame:
-    """(types, constant): for each head layout, which of its slots hold constant words.
+    """(layout, constant): for each head layout, which of its slots hold constant words.
 
     A slot is constant if few words end its trigrams; where its trigrams are
     rare, its bigrams decide. Later a slot holds the component if it is a variable word that a constant slot
     follows (a delimiter, number or one of few words), a word with a colon
     right after the level, or a bracketed variable word after the level.
     """
-    counted = heads.groupBy(F.col("types").alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    slots = counted.filter(F.size("t") > 0).select("t", F.explode(slots_of(F.col("t"), F.col("t"))).alias("s")).select("t", "s.k", "s.kind", "s.one", "s.two")
+    layouts = heads.filter(F.size("types") > 0).select("layout", "types").distinct()
+    slots = layouts.select("layout", F.explode(slots_of(F.col("types"), F.col("types"))).alias("s")).select("layout", "s.k", "s.kind", "s.one", "s.two")
     bigrams, trigrams = ngram_dictionaries(heads)
     known = slots.join(trigrams, ["two", "kind"], "left").join(bigrams, ["one", "kind"], "left")
     rare = F.col("n_two") < OFTEN
     words, n = F.when(rare, F.col("words_one")).otherwise(F.col("words_two")), F.when(rare, F.col("n_one")).otherwise(F.col("n_two"))
     constant = (words < FEW) & ((n >= OFTEN) | (F.col("kind") == "word"))
-    return known.groupBy(F.col("t").alias("types")).agg(F.array_sort(F.collect_list(F.struct("k", constant.alias("c")))).alias("s")).select("types", F.transform("s", lambda x: x["c"]).alias("constant"))
+    return known.groupBy("layout").agg(F.array_sort(F.collect_list(F.struct("k", constant.alias("c")))).alias("s")).select("layout", F.transform("s", lambda x: x["c"]).alias("constant"))
 
 
 def _component_place() -> Column:
-    """Index from 0 of the component token given types and constant, or NULL."""
+    """Index from 0 of the component token given types and constant, or NULL.
+
+    It is the first word, the second of a line with a priority, or what
+    follows the level, in a line of any length.
+    """
     at = lambda a, k: F.try_element_at(a, k + 1)
     types, constant = F.col("types"), F.col("constant")
     fixed = lambda k: F.coalesce(at(constant, k), F.lit(True)) | ~F.coalesce(at(types, k), F.lit("")).isin("word", "word:", "[word]")
-    first_word = F.array_position(F.transform(types, lambda x: x == "word"), F.lit(True)).cast("int") - 1
+    first = lambda kind: F.array_position(types, kind).cast("int") - 1
+    first_word, first_level, prioritised = first("word"), first("<level>"), F.array_contains(types, "<pri>")
 
     def holds(k: Column) -> Column:
         kind = at(types, k)
-        before = F.coalesce(F.when(k > 0, F.try_element_at(types, F.greatest(k, F.lit(1)))), F.lit(""))
-        bare = (kind == "word") & ~fixed(k) & fixed(k + 1) & ((k == first_word) | ((k == first_word + 1) & F.array_contains(types, "<pri>")))
+        before = at(types, k - 1)
+        second = (k == first_word + 1) & prioritised
+        bare = (kind == "word") & ~fixed(k) & fixed(k + 1) & ((k == first_word) | second)
         delimited = F.coalesce(at(types, k + 1), F.lit("")).rlike(r"^\W+$")
         bare = bare & F.array_contains(types, "<time>") & (before.isin("<time>", "[word]", "word") | before.rlike(r"^\W+$") | ((before == "<level>") & delimited)) & ~before.startswith("<number")
-        colon = (kind == "word:") & ((before == "<level>") | ((before == "word") & F.array_contains(types, "<pri>")))
-        bracket = (kind == "[word]") & (before == "<level>") & ~F.coalesce(at(constant, k), F.lit(False))
+        levelled = (before == "<level>") & (k == first_level + 1)
+        colon = (kind == "word:") & (levelled | ((before == "word") & second))
+        bracket = (kind == "[word]") & levelled & ~F.coalesce(at(constant, k), F.lit(False))
         return bare | colon | bracket
 
-    return F.try_element_at(F.filter(F.sequence(F.lit(0), F.lit(HEAD_TOKENS - 1)), holds), F.lit(1))
+    places = F.array_sort(F.array(first_word, first_word + 1, first_level + 1))
+    return F.try_element_at(F.filter(F.filter(places, lambda k: k > 0), holds), F.lit(1))
 
 
 def _level_name(c: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for k, v in LEVELS.items() for x in (k, v))), F.upper(c))
 
 
-def parse_entries(lines: DataFrame, block: int = BLOCK, *, text_blocks: int | None = None) -> DataFrame:
+def parse_entries(lines: DataFrame, block: int = BLOCK, *, text_blocks: int | None = None, stating: bool = False) -> DataFrame:
     """(artifact_id, first_line, last_line, time_raw, level, component, message, text).
 
     level is canonical and '' where the entry states none, component as
     written and '' where the entry names none, time_raw NULL where none was
-    found. Level words elsewhere in the message do not count. An empty table
-    gives an empty result. ``text_blocks`` bounds text and message, see
-    ``entries``; lines, level and component do not depend on it.
+    found. Where no field states a level, the first level token of the whole
+    first line counts, however far behind; later ones do not. An empty table
+    gives an empty result. ``text_blocks`` bounds the text, see ``entries``;
+    what is stated only beyond it is not seen. With ``stating`` lines, level
+    and component are those of the whole text, and the other columns are not.
     """
-    heads = cut(typed_heads(entries(lines, block, text_blocks=text_blocks)))
+    heads = cut(typed_heads(entries(lines, block, text_blocks=text_blocks, stating=stating)))
     layout = templates(heads)
-    rows = heads.join(layout, "types", "left").withColumn("_at", _component_place())
+    rows = heads.join(layout, "layout", "left").withColumn("_at", _component_place())
     head = F.substring_index("text", "\n", 1)
     json = F.when(F.col("text").rlike(r"^\s*\{"), F.regexp_replace("text", "\n", " "))
     keyed = lambda names, t: blank_to_null(F.regexp_extract(t, rf"(?:^|\s)(?:{names})=\"?([^\s\",;]+)", 1))

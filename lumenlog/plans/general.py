@@ -61,7 +61,7 @@ def p6_descendants(spark, d):
 
 
 def p7_found(spark, d):
-    return loglines.parse_entries(table(spark, d, "raw_lines"), text_blocks=loglines.OPEN_BLOCKS).select("artifact_id", "first_line", "last_line", "level", "component")
+    return loglines.parse_entries(table(spark, d, "raw_lines"), stating=True).select("artifact_id", "first_line", "last_line", "level", "component")
 
 
 QUERIES = {"p3_found": p3_found, "p3_doubts": p3_doubts, "p5_found": p5_found, "p6_found": p6_found, "p6_hierarchies": p6_hierarchies, "p6_descendants": p6_descendants, "p7_found": p7_found}
